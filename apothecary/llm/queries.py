@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from apothecary.llm import collapse as _collapse
 from apothecary.llm import components as _components
+from apothecary.llm import languages as _languages
+from apothecary.llm import leakage as _leakage
 from apothecary.llm import tokens as _tokens
 from apothecary.sources.tables import table
 
@@ -53,5 +55,23 @@ def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
     return _tokens.encode_offsets(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p6_found, p8_ids, p8_roundtrip, p8_offsets)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 20 words up to 2 word edits apart, found with a target recall of 0.95."""
+    return _leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"), window=20, edits=2)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages.find(table(spark, d, "documents")).select("doc_id", "seg", "lang")
+
+
+def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _languages.find(table(spark, d, "documents"))
+
+
+_ALL = (p1_found, p1_splits, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
