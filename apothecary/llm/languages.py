@@ -33,8 +33,8 @@ DICTIONARY_BYTES = 64_000
 SWITCH = 10
 MARGIN = 3
 LEVEL = 3
-#: Words of letters only that a sentence needs to say anything.
-LEAST_WORDS = 3
+#: Words that a sentence needs to stand for itself, and a whole text to be more than codes.
+LEAST_WORDS, LEAST_TEXT = 5, 2
 
 # Spellings of each language in labels.
 NAMES = {
@@ -47,7 +47,8 @@ NAMES = {
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"),
 }
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names}
-_BREAK = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\s*[\r\n]+\s*")
+#: After closing punctuation, or at an empty line; other line ends may stand within a sentence.
+_BREAK = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\s*\n\s*\n\s*|\s*\r\s*\r\s*")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -72,8 +73,12 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def n_words(sentence: str) -> int:
+    return sum(1 for w in sentence.split() if _LETTERS.search(w))
+
+
 def telling(sentence: str) -> bool:
-    return len(_LETTERS.findall(sentence)) >= LEAST_WORDS
+    return n_words(sentence) >= LEAST_WORDS
 
 
 def fit(sample: list[tuple[str, str]]) -> dict[str, bytes]:
@@ -131,9 +136,14 @@ class Classifier:
 
     def stretches(self, text: str) -> list[tuple[str, float]]:
         """(language, confidence) of each maximal stretch."""
-        costs = [self.sizes(s) for s in sentences(text) if telling(s)]
+        parts = sentences(text)
+        costs = [self.sizes(s) for s in parts if telling(s)]
         if not costs:
-            return []
+            # Short sentences only: together they may still be a text.
+            whole = " ".join(parts)
+            if n_words(whole) < LEAST_TEXT:
+                return []
+            costs = [self.sizes(whole)]
         n = len(self.langs)
         firm = [c for c in costs if sorted(c)[1] - min(c) >= MARGIN] or [[sum(c[k] for c in costs) for k in range(n)]]
         best, back = list(firm[0]), []
