@@ -9,6 +9,7 @@ from apothecary.llm import collapse as _collapse
 from apothecary.llm import components as _components
 from apothecary.llm import languages as _languages
 from apothecary.llm import leakage as _leakage
+from apothecary.llm import matching as _matching
 from apothecary.llm import overlap as _overlap
 from apothecary.llm import tokens as _tokens
 from apothecary.sources.tables import table
@@ -40,6 +41,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlap.report(table(spark, d, "phase11_examples"))
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every best match with its score and confidence."""
+    return _matching.match(table(spark, d, "recalls"), table(spark, d, "shortages"), table(spark, d, "ndc"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).where(F.col("confidence") >= _matching.ACCEPT).select("feed", "record_key", "product_ndc")
+
+
 def _reasons(spark: SparkSession, d: str) -> DataFrame:
     recalls, examples = table(spark, d, "recalls"), table(spark, d, "phase12_examples")
     latest = recalls.agg(F.max("snapshot")).first()[0]
@@ -85,6 +95,6 @@ def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _languages.find(table(spark, d, "documents"))
 
 
-_ALL = (p1_found, p1_splits, p3_found, p3_coverage, p3_report, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
+_ALL = (p1_found, p1_splits, p3_found, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
