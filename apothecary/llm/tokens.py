@@ -9,7 +9,9 @@ nothing; a slice of ids that cuts a character gives U+FFFD for its pieces.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,19 +21,19 @@ from pyspark.sql import functions as F
 VOCABULARIES = os.environ.get("APOTHECARY_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
 CHARS_AT_ONCE = 200_000
-_LOADED: dict = {}
 
 
 def load(path: str):
-    """The tokenizer of a file, once a worker, without threads of its own."""
-    if path not in _LOADED:
+    """The tokenizer of a file, once a worker process, without threads of its own."""
+    kept = sys.modules.setdefault("_apothecary_tokenizers", ModuleType("_apothecary_tokenizers")).__dict__
+    if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _LOADED[path] = tokenizer
-    return _LOADED[path]
+        kept[path] = tokenizer
+    return kept[path]
 
 
 def byte_table() -> dict[str, int]:
