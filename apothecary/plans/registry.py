@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from apothecary.plans import core_problems
+from apothecary.plans import core_problems, feeds, modeling
 
-MODULES = (core_problems,)
-FLAGSHIP = "p7_found"
+MODULES = (core_problems, feeds, modeling)
+FLAGSHIP = "available_manufacturers"
 
 
 def queries() -> dict:
