@@ -36,7 +36,7 @@ BLOCK_WORDS = 500_000
 CHUNK = 200_000
 #: Steps of a walk that one repetition reads: many without edits, fewer where edits must slip between.
 SAMPLES, SAMPLES_NEAR = 12, 5
-_JOIN = re.compile(r"(?<=[a-z0-9])[-‐­][ \t]*\r?\n[ \t]*(?=[a-z0-9])")
+_JOIN = re.compile(r"(?<=[a-z0-9])[-\u2010\u00ad][ \t]*\r?\n[ \t]*(?=[a-z0-9])")
 _WORD = re.compile(r"[a-z0-9]+")
 
 

@@ -31,7 +31,7 @@ from apothecary.session import materialise
 
 BITS, RADIUS = 256, 6
 #: Least Dice of a single name and of a labeler.
-LEAST_DICE = 0.6
+LEAST_DICE = 0.5
 #: Weights of the fields in a pair's score; strengths and form must agree outright.
 WEIGHTS = {"name": 0.5, "labeler": 0.35, "salt": 0.1, "kind": 0.05}
 ACCEPT = 0.5
