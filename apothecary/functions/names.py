@@ -63,7 +63,7 @@ def product_of_package(c: Column) -> Column:
 
 def reason_text(c: Column) -> Column:
     """Lower case with single blanks; a fixed placeholder for NULL and blank."""
-    plain = F.lower(strip(F.regexp_replace(c, r"[\s\u0085   -     　]+", " ")))
+    plain = F.lower(strip(F.regexp_replace(c, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")))
     return F.when(is_blank(c), REASON_MISSING).otherwise(plain)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip sees it, for the ASCII and common Unicode cases.
-_WS = r"[\s\u0085   -     　]"
+_WS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(c: Column) -> Column:
