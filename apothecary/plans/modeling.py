@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apothecary.functions import names as N
 from apothecary.operators import classify, modeling
+from apothecary.session import spread
 from apothecary.sources.tables import table
 
 QUERIES: dict = {}
@@ -49,28 +50,28 @@ classified as (select {keep}, m, coalesce(t.c, 'unknown') as cause, coalesce(rou
 
 @query(f"with {_sql_classified('recalls', 'reason_for_recall', 'row_id')} select row_id, cause, confidence_score, confidence, matched from classified")
 def rule_classify(spark, d):
-    rows = table(spark, d, "recalls").select("row_id", "reason_for_recall")
+    rows = spread(table(spark, d, "recalls").select("row_id", "reason_for_recall"))
     return classify.classify(rows, F.col("reason_for_recall")).select("row_id", "cause", "confidence_score", "confidence", "matched")
 
 
 @query(f"""with src as (select candidate_id, raw_text, event.primary_cause as label from phase12_examples), {_sql_classified('src', 'raw_text', 'candidate_id, label')}
 select label, cause, count(*) as n from classified group by 1, 2""")
 def classifier_confusion(spark, d):
-    rows = table(spark, d, "phase12_examples").select("raw_text", F.col("event.primary_cause").alias("label"))
+    rows = spread(table(spark, d, "phase12_examples").select("raw_text", F.col("event.primary_cause").alias("label")))
     return classify.classify(rows, F.col("raw_text")).groupBy("label", "cause").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {_sql_classified('recalls', 'reason_for_recall', 'row_id')}, p as (select list_transform(m, lambda x: x.c) as c from classified where len(m) > 1)
 select a, b, count(*) as n from (select c[i] as a, c[j] as b from (select c, i, unnest(range(i + 1, len(c) + 1)) as j from (select c, unnest(range(1, len(c))) as i from p))) group by a, b""")
 def collision_pairs(spark, d):
-    return classify.collision_pairs(classify.classify(table(spark, d, "recalls").select("reason_for_recall"), F.col("reason_for_recall")))
+    return classify.collision_pairs(classify.classify(spread(table(spark, d, "recalls").select("reason_for_recall")), F.col("reason_for_recall")))
 
 
 @query(f"""with src as (select row_id, {N.sql_reason('reason_for_recall')} as text, reason_for_recall from recalls), {_sql_classified('src', 'reason_for_recall', 'row_id, text')}
 select text, count(*) as n from classified where cause = 'unknown' group by text order by n desc, min(row_id) limit 15""")
 def top_unmatched_texts(spark, d):
     """The fifteen most frequent texts that no rule matches, a report by definition."""
-    rows = table(spark, d, "recalls").select("row_id", "reason_for_recall")
+    rows = spread(table(spark, d, "recalls").select("row_id", "reason_for_recall"))
     out = classify.classify(rows, F.col("reason_for_recall")).where(F.col("cause") == "unknown")
     counted = out.groupBy(N.reason_text(F.col("reason_for_recall")).alias("text")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
     return counted.orderBy(F.desc("n"), "first").limit(15).select("text", "n")
@@ -198,7 +199,7 @@ def prediction_compare(spark, d):
 @query(f"""with src as (select candidate_id, raw_text, event.primary_cause as label from phase12_examples), {_sql_classified('src', 'raw_text', 'candidate_id, label')}
 select label as "by", count(*) as records, count(*) filter (where label is not distinct from cause) as correct, round(100.0 * count(*) filter (where label is not distinct from cause) / count(*), 4) as pct from classified group by label""")
 def evaluation_by_category(spark, d):
-    rows = table(spark, d, "phase12_examples").select("raw_text", F.col("event.primary_cause").alias("label"))
+    rows = spread(table(spark, d, "phase12_examples").select("raw_text", F.col("event.primary_cause").alias("label")))
     return modeling.agreement(classify.classify(rows, F.col("raw_text")), F.col("label"), F.col("cause"), F.col("label"))
 
 

@@ -8,13 +8,18 @@ from apothecary.sources.tables import table
 from apothecary.streaming import arrivals
 
 
+def _micros(c: str):
+    """Microseconds of a wall-clock time that means UTC, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+
+
 def event_windows(spark, d):
-    return arrivals.event_windows(table(spark, d, "events")).withColumn("window_start", F.unix_micros("window_start"))
+    return arrivals.event_windows(table(spark, d, "events")).withColumn("window_start", _micros("window_start"))
 
 
 def event_sessions(spark, d):
     out = arrivals.sessions(table(spark, d, "events"))
-    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
+    return out.select("user_id", _micros("session_start").alias("session_start"), _micros("session_end").alias("session_end"), "n")
 
 
 QUERIES = {"event_windows": event_windows, "event_sessions": event_sessions}

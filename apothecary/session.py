@@ -67,3 +67,13 @@ def discard(spark: SparkSession, path: str) -> None:
 def width(spark: SparkSession) -> int:
     """Configured number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A narrow scan over at least as many tasks as there are cores.
+
+    For work that costs far more than moving its rows. Only inputs of fewer parts than
+    cores are moved; larger ones, as on a cluster, stay as they were read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
