@@ -12,12 +12,17 @@ from apothecary.llm import leakage as _leakage
 from apothecary.llm import matching as _matching
 from apothecary.llm import overlap as _overlap
 from apothecary.llm import tokens as _tokens
+from apothecary.session import spread
 from apothecary.sources.tables import table
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 TIES = ("incident_id", "split_group_id")
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "phase12_examples")
     sets = _components.components(_components.ties(df, "candidate_id", TIES))
@@ -64,7 +69,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+    return _tokens.encode(_documents(spark, d), "doc_id", "text")
 
 
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -75,24 +80,24 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens.encode_offsets(table(spark, d, "documents"), "doc_id", "text")
+    return _tokens.encode_offsets(_documents(spark, d), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return _leakage.find(_documents(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:
     """Passages of 20 words up to 2 word edits apart, found with a target recall of 0.95."""
-    return _leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"), window=20, edits=2)
+    return _leakage.find(_documents(spark, d), table(spark, d, "eval_items"), window=20, edits=2)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _languages.find(table(spark, d, "documents")).select("doc_id", "seg", "lang")
+    return _languages.find(_documents(spark, d, "lang")).select("doc_id", "seg", "lang")
 
 
 def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return _languages.find(table(spark, d, "documents"))
+    return _languages.find(_documents(spark, d, "lang"))
 
 
 _ALL = (p1_found, p1_splits, p3_found, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
