@@ -36,11 +36,17 @@ LEVELS = {
 _MAP = "map<string,string>"
 
 
+def _sound(text: Column) -> Column:
+    """True if the text is one whole JSON value. The parser alone passes over what follows a value;
+    inside an array and inside an object nothing but that value can stand."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+
+
 def _elements(text: Column) -> Column:
     """JSON texts of the elements of a list that may be a lone object; NULL if it is neither or broken."""
     t = F.trim(text)
-    sound = F.try_parse_json(t).isNotNull()
-    return F.when(sound & t.startswith("["), F.from_json(t, "array<string>")).when(sound & t.startswith("{"), F.array(t))
+    listed = F.when(t.startswith("["), F.from_json(t, "array<string>")).when(t.startswith("{"), F.array(t))
+    return F.when(_sound(t), listed)
 
 
 def _native_map(e: Column, of: T.StructType, skip: str | None) -> Column:
@@ -98,7 +104,7 @@ def native_lists(df: DataFrame, feed: str, id_col: str) -> DataFrame:
 
 def raw_lists(df: DataFrame) -> DataFrame:
     """The same of JSON payloads; ``feed`` of the table says which lists a payload has."""
-    sound = df.where(F.col("raw_id").isNotNull()).withColumn("_v", F.try_parse_json("payload")).where(F.ltrim(F.regexp_replace("payload", r"^\s+", "")).startswith("{") & F.col("_v").isNotNull())
+    sound = df.where(F.col("raw_id").isNotNull()).withColumn("_v", F.try_parse_json("payload")).where(F.col("payload").rlike(r"^\s*\{") & _sound(F.col("payload")))
     parts = []
     for feed, levels in LEVELS.items():
         own = sound.where(F.lower(F.trim("feed")) == feed)
