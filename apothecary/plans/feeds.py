@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions import names as N
-from apothecary.functions.text import is_blank, normalize_ndc, strip
+from apothecary.functions.text import normalize_ndc, strip
 from apothecary.operators import graph, market, modeling, resolve
 from apothecary.session import materialise
 from apothecary.sources.tables import table
@@ -33,7 +33,6 @@ def _latest(spark: SparkSession, d: str, name: str) -> DataFrame:
     return df.where(F.col("snapshot") == df.agg(F.max("snapshot")).first()[0])
 
 
-_LATEST = "{t}.snapshot = (select max(snapshot) from {t})"
 
 
 def _now(t: str) -> str:
@@ -398,3 +397,23 @@ def snapshot_diff_summary(spark, d):
     both = F.col("old").isNotNull() & F.col("new").isNotNull()
     differs = lambda x: ~F.col(f"o.{x}").eqNullSafe(F.col(f"n.{x}"))
     return _sides(spark, d).agg(F.count_if(F.col("old").isNull()).alias("new_records"), F.count_if(F.col("new").isNull()).alias("removed"), F.count_if(both & differs("s")).alias("status_changed"), F.count_if(both & (differs("r") | differs("v"))).alias("fields_changed"))
+
+
+@query(f"""with {_MARKET}, {_CODES}, c as (select ingredient, count(distinct case when in_recall then product_id end) as recalled, count(distinct case when in_shortage then product_id end) as short, count(distinct maker) as makers
+  from (select distinct product_id, ingredient from ingredients) join products using (product_id) left join stopped using (product_id) group by ingredient)
+select ingredient, 100 * recalled + 10 * short + makers as score from c order by score desc, ingredient limit 3""")
+def worked_examples(spark, d):
+    """The three ingredients with most to show, a report by definition."""
+    products, ingredients, stopped = _market(spark, d)
+    rows = ingredients.select("product_id", "ingredient").distinct().join(products.select("product_id", "maker"), "product_id").join(stopped, "product_id", "left")
+    n = lambda c: F.countDistinct(F.when(F.col(c), F.col("product_id")))
+    score = (100 * n("in_recall") + 10 * n("in_shortage") + F.countDistinct("maker")).alias("score")
+    return rows.groupBy("ingredient").agg(score).orderBy(F.desc("score"), "ingredient").limit(3)
+
+
+@query(f"""with g as (select lower({N.sql_words('generic_name')}) as drug, coalesce({N.sql_manufacturer('company_name')}, {N.sql_words('company_name')}) as maker, package_ndc, status from {_now('shortages')})
+select drug, count(distinct maker) as makers, count(*) as signals, count(distinct package_ndc) as packages, count(distinct case when lower({N.sql_strip('status')}) = 'current' then maker end) as makers_current from g group by drug""")
+def related_counts(spark, d):
+    rows = _latest(spark, d, "shortages").select(N.words(F.col("generic_name")).alias("drug"), N.display_key(F.col("company_name")).alias("maker"), "package_ndc", "status")
+    current = F.when(market.has_status("status", "current"), F.col("maker"))
+    return rows.groupBy("drug").agg(F.countDistinct("maker").alias("makers"), F.count(F.lit(1)).alias("signals"), F.countDistinct("package_ndc").alias("packages"), F.countDistinct(current).alias("makers_current"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apothecary.functions import names as N
-from apothecary.operators import classify, modeling
+from apothecary.operators import classify, components, modeling
 from apothecary.session import spread
 from apothecary.sources.tables import table
 
@@ -276,3 +276,47 @@ def corpus_queue(spark, d):
     first = first.groupBy("event_id", "text").agg(F.array_join(F.array_sort(F.collect_list("number")), "|").alias("first_numbers"))
     same = [units["event_id"].eqNullSafe(first["event_id"]), units["text"] == first["text"]]
     return units.join(first, same).select(units["event_id"], units["text"], "filings", "firm", "first_numbers")
+
+
+@query("""with recursive e as (select distinct candidate_id as node, x as entity from (select candidate_id, unnest([nullif('i:' || lower(regexp_replace(incident_id, '\\s', '', 'g')), 'i:'), nullif('g:' || lower(regexp_replace(split_group_id, '\\s', '', 'g')), 'g:')]) as x from phase12_examples) where x is not null),
+reach(node, other) as (select node, node from e union select r.node, b.node from reach r join e a on a.node = r.other join e b on b.entity = a.entity)
+select node as candidate_id, min(other) as component from reach group by node""")
+def leakage_components(spark, d):
+    """The smallest record each record is tied to, through incidents and split groups; components are not gathered anywhere."""
+    sets = components.components(components.ties(table(spark, d, "phase12_examples"), "candidate_id", ("incident_id", "split_group_id")))
+    return sets.select(F.col("node").alias("candidate_id"), F.col("label").alias("component"))
+
+
+@query(f"""with p as (select candidate_id, unnest(source_record_ids) as rid, snapshot, event.primary_cause as cause from phase11_examples where event.primary_cause is not null)
+select rid as record_id, arg_max(cause, {{'s': snapshot, 'c': candidate_id}}) as cause, count(distinct candidate_id) as labels from p where rid is not null group by rid""")
+def root_cause_priority(spark, d):
+    """Per source record the label of its latest candidate: explode, then one combining maximum."""
+    rows = table(spark, d, "phase11_examples").select("candidate_id", F.explode("source_record_ids").alias("record_id"), "snapshot", F.col("event.primary_cause").alias("cause"))
+    rows = rows.where(F.col("record_id").isNotNull() & F.col("cause").isNotNull())
+    return rows.groupBy("record_id").agg(F.max_by("cause", F.struct("snapshot", "candidate_id")).alias("cause"), F.countDistinct("candidate_id").alias("labels"))
+
+
+@query("""select row_id, case when trim(coalesce(event_id, '')) <> '' then 'recall_event:' || event_id when trim(coalesce(recall_number, '')) <> '' then 'recall_record:' || recall_number
+else 'missing:' || substr(sha256(coalesce(product_description, '')), 1, 20) end as incident_id from recalls""")
+def incident_identity(spark, d):
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    fallback = F.concat(F.lit("missing:"), N.short_hash(F.coalesce("product_description", F.lit("")), 20))
+    own = F.when(filled("event_id"), F.concat(F.lit("recall_event:"), "event_id")).when(filled("recall_number"), F.concat(F.lit("recall_record:"), "recall_number")).otherwise(fallback)
+    return table(spark, d, "recalls").select("row_id", own.alias("incident_id"))
+
+
+@query("""with t as (select distinct candidate_id, raw_text, event.primary_cause as cause from phase12_examples where raw_text is not null)
+select raw_text, min(candidate_id) as representative, count(*) as copies, count(distinct cause) as causes from t group by raw_text""")
+def exact_text_representatives(spark, d):
+    rows = table(spark, d, "phase12_examples").where(F.col("raw_text").isNotNull()).select("candidate_id", "raw_text", F.col("event.primary_cause").alias("cause")).distinct()
+    return rows.groupBy("raw_text").agg(F.min("candidate_id").alias("representative"), F.count(F.lit(1)).alias("copies"), F.countDistinct("cause").alias("causes"))
+
+
+@query("""select candidate_id, row_number() over (order by r > 1, h, candidate_id) as place from (select *, row_number() over (partition by source, cause, raw_text order by h, candidate_id) as r from
+(select distinct candidate_id, source, event.primary_cause as cause, raw_text, sha256('order|' || candidate_id) as h from phase12_examples)) order by place limit 200""")
+def diverse_queue(spark, d):
+    """The first 200 of a review queue, by definition of the queue: first occurrences of each text before repeats."""
+    rows = table(spark, d, "phase12_examples").select("candidate_id", "source", F.col("event.primary_cause").alias("cause"), "raw_text", F.sha2(F.concat(F.lit("order|"), "candidate_id"), 256).alias("h")).distinct()
+    w = Window.partitionBy("source", "cause", "raw_text").orderBy("h", "candidate_id")
+    top = rows.withColumn("again", F.row_number().over(w) > 1).orderBy("again", "h", "candidate_id").limit(200)
+    return top.select("candidate_id", F.row_number().over(Window.orderBy("again", "h", "candidate_id")).alias("place"))
