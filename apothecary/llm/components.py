@@ -1,90 +1,21 @@
-"""Sets of records tied through shared entities, and splits that keep each set together.
+"""Splits that keep tied records together.
 
-Labels spread over the bipartite graph of records and entities: each entity takes the
-smallest label of its records, each record the smallest of its entities, then each
-label its own label (pointer jumping), until nothing changes. A label is the smallest
-record id seen so far. Every round is written to the shared folder.
-
-Skew: an entity with very many records is salted by record id; a label with very many
-records is resolved by a map of at most a thousand entries. Both limits follow from the
-number of rows, so the lists stay bounded at any size.
-
-Defined cases: NULL and blank entity ids tie nothing; rows with the same record id are
-one record; a record without id ties others but is never reported; empty input gives
-an empty result.
+Records are tied by the connected components of the bipartite record-entity graph
+(``apothecary.operators.components``: minimum-label propagation). Whole sets are then
+assigned so that the label shares of each split come close to those of all records.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apothecary.functions.text import is_blank, squash
+from apothecary.operators.components import HOT_KEYS, HOT_ROWS, NAMELESS, components, lookup, record_node, ties
 from apothecary.session import materialise
 
-HOT_ROWS = 100_000
-HOT_KEYS = 1_000
-#: Sorts behind every real id and marks records without one.
-NAMELESS = chr(0x10FFFF)
-
-
-def record_node(df: DataFrame, id_col: str) -> Column:
-    """The id of a record; rows without one get a mark that depends on their content."""
-    content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256)
-    return F.when(is_blank(F.col(id_col)), F.concat(F.lit(NAMELESS), content)).otherwise(F.col(id_col))
-
-
-def _hot(counts: DataFrame, key: str, limit: int) -> list:
-    return [r[0] for r in counts.where(F.col("n") >= limit).select(key).collect()]
-
-
-def _lookup(pairs: dict, key: Column, otherwise: Column) -> Column:
-    if not pairs:
-        return otherwise
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in chain(*pairs.items())]), key), otherwise)
-
-
-def components(ties: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """node, label of the bipartite edges ``ties`` (node, entity): label is the smallest node of the set."""
-    edges = ties.where(F.col("entity").isNotNull()).distinct()
-    edges = materialise(edges, "component-edges")
-    total = edges.count()
-    limit = max(hot_rows, total // HOT_KEYS)
-    degrees = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
-    salts = {r["entity"]: 1 + r["n"] // max(1, limit // 2) for r in degrees.collect()}
-    n_salt = _lookup(salts, F.col("entity"), F.lit(1).cast("bigint"))
-    edges = edges.withColumn("salt", F.pmod(F.xxhash64("node"), n_salt))
-    labels = edges.select("node").distinct().withColumn("label", F.col("node"))
-    while True:
-        spread = edges.join(labels, "node")
-        least = spread.groupBy("entity").agg(F.min("label").alias("label"))
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), n_salt - 1)))
-        stepped = edges.join(least, ["entity", "salt"]).groupBy("node").agg(F.min("label").alias("label"))
-        stepped = materialise(stepped, "component-step")
-        sizes = stepped.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        hot = _hot(sizes, "label", limit)
-        targets = {r["node"]: r["label"] for r in stepped.where(F.col("node").isin(hot)).collect()} if hot else {}
-        to = stepped.select(F.col("node").alias("at"), F.col("label").alias("target"))
-        cold = F.when(~F.col("label").isin(hot), F.col("label")) if hot else F.col("label")
-        # A NULL key would meet in one task: hot rows are spread over keys that match nothing.
-        key = F.coalesce(cold, F.concat(F.lit(NAMELESS), F.col("node"))) if hot else cold
-        jumped = stepped.withColumn("at", key).join(to, "at", "left")
-        jumped = jumped.select("node", F.least("label", F.coalesce("target", _lookup(targets, F.col("label"), F.col("label")))).alias("label"))
-        jumped = materialise(jumped, "component-labels")
-        before = labels.select("node", F.col("label").alias("was"))
-        moved = jumped.join(before, "node").where(F.col("label") != F.col("was")).limit(1).count()
-        labels = jumped
-        if not moved:
-            return labels
-
-
-def ties(df: DataFrame, id_col: str, entity_cols: tuple[str, ...]) -> DataFrame:
-    """Edges from each record to the entities it names, compared without case and white space."""
-    names = F.array(*[F.concat(F.lit(f"{c}:"), squash(F.col(c))) for c in entity_cols])
-    return df.select(record_node(df.select(id_col, *entity_cols), id_col).alias("node"), F.explode(names).alias("entity"))
+__all__ = ["NAMELESS", "assign", "components", "ties"]
 
 
 def assign(df: DataFrame, id_col: str, entity_cols: tuple[str, ...], label: Column, shares: dict[str, float], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -118,8 +49,6 @@ def assign(df: DataFrame, id_col: str, entity_cols: tuple[str, ...], label: Colu
             have[best][c] += k
     bins = 1024
     small = groups.where(F.col("n") < limit).withColumn("bin", F.pmod(F.xxhash64("set"), F.lit(bins)))
-    from pyspark.sql import Window
-
     starts = small.groupBy("main", "bin").agg(F.sum("n").alias("m"))
     run = Window.partitionBy("main").orderBy("bin")
     starts = starts.select("main", "bin", (F.sum("m").over(run) - F.col("m")).alias("start"), F.sum("m").over(Window.partitionBy("main")).alias("all"))
@@ -132,7 +61,7 @@ def assign(df: DataFrame, id_col: str, entity_cols: tuple[str, ...], label: Colu
     at = F.col("middle") / F.col("all")
     choice = reduce(lambda acc, i: acc.when(at <= F.get(upto, F.lit(i)), order[i]), range(1, len(order)), F.when(at <= F.get(upto, F.lit(0)), order[0])).otherwise(order[0])
     few = small.join(starts, ["main", "bin"]).withColumn("middle", middle).select("set", choice.alias("split"))
-    of_large = _lookup(placed, F.col("set"), F.lit(None).cast("string"))
+    of_large = lookup(placed, F.col("set"), F.lit(None).cast("string"))
     is_large = of_large.isNotNull()
     done = rows.where(is_large).select("node", of_large.alias("split")).unionByName(rows.where(~is_large).join(few, "set").select("node", "split"))
     return done.where(~F.col("node").startswith(NAMELESS)).select(F.col("node").alias(id_col), "split").distinct()
