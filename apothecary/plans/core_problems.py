@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apothecary.functions import names as N
 from apothecary.functions.instants import SOURCE_ZONES, parse_instant
 from apothecary.operators import nested, snapshots
 from apothecary.sources.tables import table
@@ -56,4 +57,40 @@ def p7_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_field_changes, p4_found, p4_formats, p7_found, p7_objects, p7_bridge)}
-SQL: dict[str, str] = {}
+
+_OBJECT = "json_type(e) = 'OBJECT' and len(list_filter(json_extract(e, '$.*'), lambda x: json_type(x) <> 'NULL')) > 0"
+
+
+def _items(text: str) -> str:
+    """List of JSON elements of a text that is a list or a lone object."""
+    return f"case when not coalesce(json_valid({text}), false) then [] when json_type({text}::json) = 'ARRAY' then json_extract({text}::json, '$[*]') when json_type({text}::json) = 'OBJECT' then [{text}::json] else [] end"
+
+
+def _field(of: str, name: str) -> str:
+    return f"case when json_type(json_extract({of}, '$.{name}')) = 'VARCHAR' then json_extract_string({of}, '$.{name}') else json_extract({of}, '$.{name}')::varchar end"
+
+
+def _nested_sql() -> str:
+    parts = []
+    for feed, key, levels in (("ndc", "product_id", nested.LEVELS["ndc"]), ("drugsfda", "application_number", nested.LEVELS["drugsfda"])):
+        for lv in levels:
+            parts.append(f"select '{feed}' as feed, {key} as record_id, '{lv.field}' as path, '{lv.child or ''}' as child, to_json({lv.field})::varchar as t from {feed} where {key} is not null and {lv.field} is not null")
+            parts.append(f"select 'raw_feed', raw_id::varchar, '{lv.field}', '{lv.child or ''}', {_field('payload::json', lv.field)} from sound where feed = '{feed}'")
+    return f"""with sound as (select raw_id, feed, payload from raw_feed where coalesce(json_valid(payload), false) and json_type(case when json_valid(payload) then payload::json end) = 'OBJECT'),
+lists as ({' union all '.join(parts)}), outer_items as (select feed, record_id, path, child, pos, l[pos] as e from (select *, unnest(range(1, len(l) + 1)) as pos from (select *, {_items('t')} as l from lists))),
+kept as (select * from outer_items where {_OBJECT}),
+inner_items as (select feed, record_id, path || '.' || child as path, pos, sub_pos, l[sub_pos] as e from (select *, unnest(range(1, len(l) + 1)) as sub_pos from (select *, {_items('c')} as l from
+  (select *, case when json_type(json_extract(e, '$.' || child)) = 'VARCHAR' then json_extract_string(e, '$.' || child) else json_extract(e, '$.' || child)::varchar end as c from kept where child <> ''))))
+select distinct feed, record_id, path, pos, 0::bigint as sub_pos from kept union select distinct feed, record_id, path, pos, sub_pos from inner_items where {_OBJECT}"""
+
+
+_CHANGES = f"""with rows as (select 'recalls' as feed, snapshot, nullif(upper({N.sql_strip('recall_number')}), '') as k, ingested_at, row_id, lower({N.sql_strip('status')}) as a, lower({N.sql_strip('classification')}) as b from recalls
+  union all select 'shortages', snapshot, case when length({N.sql_ndc('package_ndc')}) = 11 then {N.sql_ndc('package_ndc')} end, ingested_at, row_id, lower({N.sql_strip('status')}), lower({N.sql_strip('availability')}) from shortages),
+last as (select feed, snapshot, k, a, b from (select *, row_number() over (partition by feed, snapshot, k order by ingested_at desc nulls last, row_id desc) as r from rows where k is not null and snapshot is not null) where r = 1),
+names as (select snapshot, lead(snapshot) over (order by snapshot) as later from (select distinct snapshot from rows where snapshot is not null)),
+old as (select l.feed, n.later as snapshot, l.k, a, b from last l join names n using (snapshot) where n.later is not null),
+new as (select l.* from last l where snapshot in (select later from names))
+select coalesce(o.feed, n.feed) as feed, coalesce(o.snapshot, n.snapshot) as snapshot, coalesce(o.k, n.k) as record_key, case when o.k is null then 'added' when n.k is null then 'removed' else 'changed' end as change_kind
+from old o full join new n on o.feed = n.feed and o.snapshot = n.snapshot and o.k = n.k where o.k is null or n.k is null or o.a is distinct from n.a or o.b is distinct from n.b"""
+
+SQL: dict[str, str] = {"p2_found": _CHANGES, "p7_found": _nested_sql()}
