@@ -102,4 +102,29 @@ def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (p1_found, p1_splits, p3_found, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+
+_WS = r"\s"
+_TIED = rf"""with recursive e as (select distinct candidate_id as node, x as entity from (select candidate_id, unnest([nullif('i:' || lower(regexp_replace(incident_id, '{_WS}', '', 'g')), 'i:'),
+  nullif('g:' || lower(regexp_replace(split_group_id, '{_WS}', '', 'g')), 'g:')]) as x from phase12_examples) where x is not null),
+reach(node, other) as (select node, node from e union select r.node, b.node from reach r join e a on a.node = r.other join e b on b.entity = a.entity)
+select first_id, candidate_id from (select node as candidate_id, min(other) as first_id from reach group by node) where first_id <> candidate_id"""
+
+_OVERLAPS = r"""with r as (select distinct candidate_id, split = 'train' as train, list_distinct(regexp_extract_all(lower(strip_accents(raw_text)), '[a-z0-9]+')) as w from phase11_examples
+  where split in ('train', 'validation', 'test', 'gold_evaluation') and trim(raw_text) <> '' and lower(trim(raw_text)) <> '[fda reason missing]'),
+x as (select candidate_id, train, len(w) as n, hash(list_sort(w)) as k, unnest(w) as word from r),
+p as (select t.candidate_id as a, e.candidate_id as b, t.k, e.k, t.n as n, e.n as m, count(*) as shared from x t join x e on t.word = e.word where t.train and not e.train group by all)
+select distinct least(a, b) as id_a, greatest(a, b) as id_b from p where a <> b and 4 * shared >= 3 * (n + m - shared)"""
+
+_COPIES = r"""with t as (select 'recalls' as feed, lpad(row_id::varchar, 20, '0') as id, reason_for_recall as text from recalls where snapshot = (select max(snapshot) from recalls)
+  union all select 'phase12_examples', candidate_id, raw_text from phase12_examples),
+k as (select feed, id, array_to_string(list_sort(list_filter(list_transform(string_split(lower(text), ';'), lambda p: regexp_replace(p, '[^\p{L}\p{Nd}]+', '', 'g')), lambda p: p <> '')), ';') as key
+  from t where regexp_replace(text, '\s+', '', 'g') <> '')
+select feed, case when feed = 'recalls' then min(id)::bigint::varchar else min(id) end as kept, count(*) as copies from k group by feed, key having count(*) > 1"""
+
+_LEAKS = r"""with d as (select doc_id, regexp_extract_all(regexp_replace(lower(text), '([a-z0-9])-[ \t]*\r?\n[ \t]*([a-z0-9])', '\1\2', 'g'), '[a-z0-9]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(regexp_replace(lower(text), '([a-z0-9])-[ \t]*\r?\n[ \t]*([a-z0-9])', '\1\2', 'g'), '[a-z0-9]+') as w from eval_items where text is not null),
+dg as (select distinct doc_id, array_to_string(w[p:p + 13], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 12)) as p from d)),
+ig as (select distinct item_id, array_to_string(w[p:p + 13], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 12)) as p from i))
+select distinct doc_id, item_id from dg join ig using (g)"""
+
+SQL: dict[str, str] = {"p1_found": _TIED, "p3_found": _OVERLAPS, "p6_found": _COPIES, "p9_found": _LEAKS}
