@@ -33,7 +33,7 @@ SOURCE_ZONES = {"shortages": "America/New_York", "recalls": "America/New_York"}
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _LONG = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MON = "(?:" + "|".join(sorted({*MONTHS, *_LONG, "sept"}, key=len, reverse=True)) + r")\.?"
-_TIME = r"(?:(?:[T ]|, ?| +)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp])\.?[Mm]\.?)?(?: ?(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{2,5}|[A-Za-z]+(?:/[A-Za-z_+-]+)+))?)?"
+_TIME = r"(?:(?:[T ]|, ?| +)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp])\.?[Mm]\.?(?![A-Za-z]))?(?: ?(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Za-z]{2,5}|[A-Za-z]+(?:/[A-Za-z_+-]+)+))?)?"
 
 #: name, anchored pattern, groups of (year, month, day), groups before the time. In order.
 _CASCADE = (

@@ -30,7 +30,7 @@ def test_formats(spark):
         "2015-09-26T13:51:42.947906563+0530": us(2015, 9, 26, 8, 21, 42) + 947906, "2022-06-09T15:18:28.931-04:00": us(2022, 6, 9, 19, 18, 28) + 931000,
         "20260205T151204Z": us(2026, 2, 5, 15, 12, 4), "1770886480": 1770886480000000, "1619136999167": 1619136999167000, "01/14/2026 05:35 AM": us(2026, 1, 14, 10, 35),
         "12/12/2020 12:00 AM CDT": us(2020, 12, 12, 5), "12/12/2020 12:30 PM EST": us(2020, 12, 12, 17, 30), "22.06.2023 21:12 CEST": us(2023, 6, 22, 19, 12), "2019-01-26 22:00:58 Asia/Tokyo": us(2019, 1, 26, 13, 0, 58),
-        "13-Apr-2026": us(2026, 4, 13, 4), "April 6, 2018": us(2018, 4, 6, 4), "Thu, 23 Apr 2026 00:27:25 GMT": us(2026, 4, 23, 0, 27, 25), "\t03/18/2026  ": us(2026, 3, 18, 4),
+        "2019-01-26 22:00:58 America/New_York": us(2019, 1, 27, 3, 0, 58), "2017-07-02 12:23:30 America/Los_Angeles": us(2017, 7, 2, 19, 23, 30), "01/02/2020 03:04PM America/Chicago": us(2020, 1, 2, 21, 4), "13-Apr-2026": us(2026, 4, 13, 4), "April 6, 2018": us(2018, 4, 6, 4), "Thu, 23 Apr 2026 00:27:25 GMT": us(2026, 4, 23, 0, 27, 25), "\t03/18/2026  ": us(2026, 3, 18, 4),
     }
     for row, (text, want) in zip(parse(spark, cases), cases.items()):
         assert row["instant_us"] == want, text
