@@ -78,21 +78,26 @@ def signatures(h: np.ndarray, window: int, repeats: int, samples: int) -> np.nda
     if n <= 0:
         return np.empty((0, repeats), np.uint64)
     out = np.zeros((n, repeats), np.uint64)
-    padded = np.concatenate([h, np.zeros(1, np.uint64)])
+    # Zeros behind the words, so that a walk past the end reads nothing; within the first
+    # ``window`` steps no walk can have left its window.
+    padded = np.concatenate([h, np.zeros(2 * window, np.uint64)])
     base = np.arange(n)
     for k in range(repeats):
         rng = np.random.default_rng(977 + k)
         turns = rng.integers(1, 2**63, 3 * window, dtype=np.uint64) | np.uint64(1)
         sampled = np.sort(rng.choice(2 * window, samples, replace=False))
         mixers = rng.integers(1, 2**63, 3 * window, dtype=np.uint64) | np.uint64(1)
-        at = np.zeros(n, np.int64)
+        place = base.copy()
         for j in range(int(sampled[-1]) + 1):
-            inside = at < window
-            symbol = np.where(inside, padded[np.where(inside, base + at, len(h))], np.uint64(0))
+            symbol = padded[place]
+            if j >= window:
+                symbol *= (place - base < window).astype(np.uint64)
             if j in sampled:
                 mixed = (symbol ^ (symbol >> np.uint64(31))) * mixers[j]
                 out[:, k] += mixed ^ (mixed >> np.uint64(29))
-            at += ((symbol * turns[j]) >> np.uint64(63)).astype(np.int64)
+            symbol *= turns[j]
+            symbol >>= np.uint64(63)
+            place += symbol.view(np.int64)
     return out
 
 
@@ -126,6 +131,22 @@ def _index(items: list[tuple], window: int, repeats: int, samples: int):
     return [(s[r, k], o[r], p[r]) for k, r in enumerate(order)], split, [i for i, _ in items]
 
 
+def _gathered(ids: list, texts, window: int) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """(documents, their words in one list, where each document's words end) of about ``CHUNK`` words at a time."""
+    docs, flat, ends = [], [], []
+    for doc, text in zip(ids, texts):
+        ws = words(text.as_py())
+        if len(ws) >= window:
+            docs.append(doc)
+            flat += ws
+            ends.append(len(flat))
+        if len(flat) >= CHUNK:
+            yield docs, flat, np.array(ends)
+            docs, flat, ends = [], [], []
+    if docs:
+        yield docs, flat, np.array(ends)
+
+
 def _scan(docs: DataFrame, items: list[tuple], window: int, edits: int, repeats: int, samples: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -134,10 +155,7 @@ def _scan(docs: DataFrame, items: list[tuple], window: int, edits: int, repeats:
         hasher = Hasher()
         for b in batches:
             found: dict[tuple, int] = {}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ws = words(text.as_py())
-                if index is None or len(ws) < window:
-                    continue
+            for ids, ws, ends in _gathered(b.column(0).to_pylist(), b.column(1), window) if index else ():
                 h = hasher(ws)
                 for start in range(0, len(ws) - window + 1, CHUNK):
                     sig = signatures(h[start : start + CHUNK + window - 1], window, repeats, samples)
@@ -145,15 +163,18 @@ def _scan(docs: DataFrame, items: list[tuple], window: int, edits: int, repeats:
                         lo = np.searchsorted(known, sig[:, k])
                         hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == sig[:, k]) if len(known) else ()
                         for w in hit:
+                            at = start + int(w)
+                            d = int(np.searchsorted(ends, at, side="right"))
+                            if at + window > ends[d]:
+                                continue  # this window runs into the next document
                             e = int(lo[w])
                             while e < len(known) and known[e] == sig[w, k]:
                                 i, p = int(owner[e]), int(place[e])
-                                key = (doc, index[2][i])
+                                key = (ids[d], index[2][i])
                                 if found.get(key, edits + 1) > 0:
-                                    a, c = ws[start + int(w) : start + int(w) + window], index[1][i][p : p + window]
-                                    d = edit_distance(a, c, edits)
-                                    if d <= edits:
-                                        found[key] = min(d, found.get(key, d))
+                                    apart = edit_distance(ws[at : at + window], index[1][i][p : p + window], edits)
+                                    if apart <= edits:
+                                        found[key] = min(apart, found.get(key, apart))
                                 e += 1
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
