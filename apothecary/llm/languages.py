@@ -32,7 +32,7 @@ DICTIONARY_BYTES = 64_000
 #: Bytes that a change of language costs; and the lead below which a sentence decides nothing.
 SWITCH = 10
 MARGIN = 3
-LEVEL = 3
+LEVEL = 1
 #: Words that a sentence needs to stand for itself, and a whole text to be more than codes.
 LEAST_WORDS, LEAST_TEXT = 5, 2
 
@@ -50,11 +50,13 @@ _BY_NAME = {n: code for code, names in NAMES.items() for n in names}
 #: After closing punctuation, or at an empty line; other line ends may stand within a sentence.
 _BREAK = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\s*\n\s*\n\s*|\s*\r\s*\r\s*")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
+_MARKS = re.compile(r"[\u0300-\u036f]+")
+_CODE = re.compile(r"\S*\d\S*")
 
 
 def fold(text: str) -> str:
     """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text.lower()))
 
 
 def label_code(label: str | None) -> str | None:
@@ -64,13 +66,9 @@ def label_code(label: str | None) -> str | None:
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and lines of a text, folded, without words that hold digits."""
-    out = []
-    for s in _BREAK.split(text):
-        s = " ".join(w for w in fold(s or "").split() if not any(c.isdigit() for c in w))
-        if s:
-            out.append(s)
-    return out
+    """Sentences of a text, folded, without words that hold digits."""
+    parts = (" ".join(_CODE.sub(" ", s).split()) for s in _BREAK.split(fold(text)) if s)
+    return [s for s in parts if s]
 
 
 def n_words(sentence: str) -> int:
