@@ -142,11 +142,13 @@ def occurrences(lists: DataFrame) -> DataFrame:
     outer = outer.withColumn("kids", inner_ids)
     links = F.transform(F.col("kids"), lambda k: F.struct(k["sub_pos"], k["object_id"]))
     outer = outer.withColumn("object_id", _identity(F.col("level"), F.col("e.fields"), links))
-    place = (F.col("pos") + 1).cast("long").alias("pos")
-    tops = outer.select("feed", "record_id", F.col("level").alias("path"), place, F.lit(0).cast("long").alias("sub_pos"), "object_id", F.lit(None).cast("string").alias("parent_id"), F.col("e.fields").alias("fields"))
-    subs = outer.where(own.isNotNull()).select("feed", "record_id", F.concat_ws(".", "level", "child").alias("path"), place, F.col("object_id").alias("parent_id"), F.explode("kids").alias("k"))
-    subs = subs.select("feed", "record_id", "path", "pos", F.col("k.sub_pos").alias("sub_pos"), F.col("k.object_id").alias("object_id"), "parent_id", F.col("k.fields").alias("fields"))
-    return tops.unionByName(subs)
+    # One pass: an object and the objects in it leave as one list of places.
+    place = lambda path, sub, oid, parent, fields: F.struct(path.alias("path"), sub.alias("sub_pos"), oid.alias("object_id"), parent.alias("parent_id"), fields.alias("fields"))
+    top = place(F.col("level"), F.lit(0).cast("long"), F.col("object_id"), F.lit(None).cast("string"), F.col("e.fields"))
+    subs = F.transform("kids", lambda k: place(F.concat_ws(".", "level", "child"), k["sub_pos"], k["object_id"], F.col("object_id"), k["fields"]))
+    every = F.when(own.isNotNull() & F.col("kids").isNotNull(), F.concat(F.array(top), subs)).otherwise(F.array(top))
+    out = outer.select("feed", "record_id", (F.col("pos") + 1).cast("long").alias("pos"), F.explode(every).alias("x"))
+    return out.select("feed", "record_id", "x.path", "pos", "x.sub_pos", "x.object_id", "x.parent_id", "x.fields")
 
 
 def all_occurrences(ndc: DataFrame, drugsfda: DataFrame, raw_feed: DataFrame) -> DataFrame:
