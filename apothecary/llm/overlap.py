@@ -1,20 +1,13 @@
 """Texts of evaluation records that stand, exactly or almost, in training records.
 
-Equal word sequences become one class first. Each class gives winnowing fingerprints:
-of every ``SPAN`` consecutive five-word shingles the smallest by (frequent words in it,
-hash) is selected, so two texts that share ``SHINGLE + SPAN - 1`` (8) words in a row select a
-common shingle. Of the selected shingles those count that hold one of the text's
-``ANCHORS`` rarest words; shingles of stock phrases alone tell nothing and would pair
-every text with every other. Fingerprints meet across splits; one that too many pairs
-share is refined by rare words: two texts with three quarters of their words in common
-must share one of the first ``n - ceil(0.75 n) + 1`` words in a fixed order, rare ones
-first, so the refinement loses nothing. Short texts, which may share no eight words in a
-row, use those words alone. For each candidate pair the seeds are chained collinearly,
-the gaps aligned, and the shared words counted exactly.
-
-Pairs with three quarters of their words in common but no eight in a row around a rare
-word (a text in scrambled word order) are not seen; the recall against brute force is
-measured in the tests and stated in the README.
+Equal word sequences become one class first. Two texts with three quarters of their
+words in common must share one of the first ``n - ceil(0.75 n) + 1`` words in a fixed
+order, rare ones first, whatever else differs: each class meets the others by these words
+alone. What a shared word still allows decides next: its places in both orders bound the
+words that can be shared, and so do the differing bits of two 256-bit word sums. A word
+that too many pairs share is keyed by the sizes its place allows as well. None of this
+loses a pair. For each candidate pair the shared words are counted exactly, common
+five-word seeds chained collinearly and the gaps aligned.
 
 Defined cases: NULL, blank and placeholder texts and ``excluded`` records never count;
 a text without words never counts; repeated rows are one record; a NULL id is left out.
@@ -23,6 +16,7 @@ a text without words never counts; repeated rows are one record; a NULL id is le
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,15 +29,14 @@ from pyspark.sql import functions as F
 from apothecary.functions.text import is_blank, strip
 from apothecary.session import materialise
 
-SHINGLE, SPAN = 5, 4
-#: How many of a text's rarest words anchor its fingerprints.
-ANCHORS = 8
+#: Words in a row that seed an alignment.
+SHINGLE = 5
 #: Shared distinct words over all distinct words, in hundredths.
 SIMILARITY = 75
-#: Texts of at most so many distinct words also meet by their rare words alone.
-SHORT = 14
-#: A fingerprint with more train-evaluation pairs of classes than this is refined.
+#: A word with more train-evaluation pairs of classes than this is keyed by sizes as well.
 HOT_PAIRS = 256
+#: Bands of text sizes to a factor of e.
+BANDS = 8
 #: Words in at least this part of all records count as frequent; no more than ``100 * words a record`` can be.
 FREQUENT = 100
 EVALUATION = ("validation", "test", "gold_evaluation")
@@ -86,22 +79,24 @@ def prefix(distinct: list[str], frequent: dict[str, int]) -> list[str]:
     return sorted(distinct, key=lambda w: (frequent.get(w, 0), w))[:keep]
 
 
-def fingerprints(ws: list[str], frequent: dict[str, int], anchors: set[str]) -> list[int]:
-    """Selected shingle hashes of a word sequence, as signed 64-bit numbers."""
-    n = len(ws) - SHINGLE + 1
-    if n <= 0:
-        return []
-    h = _hash(ws)
-    weights = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-    rolled = sum((h[i : i + n] * weights[i] for i in range(SHINGLE)), np.zeros(n, np.uint64))
-    rolled ^= rolled >> np.uint64(29)
-    common = np.fromiter((w in frequent for w in ws), np.int64, len(ws))
-    anchored = np.fromiter((w in anchors for w in ws), np.int64, len(ws))
-    load = sum(common[i : i + n] for i in range(SHINGLE))
-    near = sum(anchored[i : i + n] for i in range(SHINGLE)) > 0
-    order = list(zip(load.tolist(), rolled.view(np.int64).tolist(), near.tolist()))
-    span = min(SPAN, n)
-    return sorted({m[1] for m in (min(order[i : i + span]) for i in range(n - span + 1)) if m[2]})
+def band(size: int) -> int:
+    return int(math.log(size) * BANDS)
+
+
+def keys(n: int, first: list[int]) -> list[dict]:
+    """Each word of the prefix with its place from 1 and the bands of the sizes that a similar text may then have."""
+    out = []
+    for at, w in enumerate(first, 1):
+        low, high = -(-SIMILARITY * n // 100), min(100 * n // SIMILARITY, (100 + SIMILARITY) * (n - at + 1) // SIMILARITY - n)
+        if low <= high:
+            out.append({"w": w, "at": at, "low": band(low), "high": band(high)})
+    return out
+
+
+def word_sum(hashes: np.ndarray) -> list[int]:
+    """256 bits, each the parity of the words that fall on it: as many differ at most as words do."""
+    bits = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def align(a: list[str], b: list[str]) -> int:
@@ -164,36 +159,41 @@ def class_pairs(recs: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     classes = materialise(classes, "overlap-classes")
     frequent = spark.sparkContext.broadcast(frequent_words(classes, classes.count()))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("w", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for b in batches:
-            sizes, fps, rares = [], [], []
+            sizes, bands, sums, found = [], [], [], []
             for text in b.column(1).to_pylist():
-                ws = text.split(" ")
-                distinct = list(dict.fromkeys(ws))
-                first = prefix(distinct, often)
-                rare = _hash(first).view(np.int64).tolist()
-                # Words alone serve as fingerprints of short texts, turned so that they meet no shingle.
-                alone = [~f for f in rare] if len(distinct) <= SHORT else []
+                distinct = list(dict.fromkeys(text.split(" ")))
                 sizes.append(len(distinct))
-                fps.append(fingerprints(ws, often, set(first[:ANCHORS])) + alone)
-                rares.append(rare)
-            cols = [b.column(0), pa.array(sizes, pa.int32()), b.column(2), b.column(3), pa.array(fps, pa.list_(pa.int64())), pa.array(rares, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["class", "size", "t", "e", "fps", "rare"])
-
-    rows = classes.select("class", "words", "t", "e").mapInArrow(prints, "class string, size int, t boolean, e boolean, fps array<bigint>, rare array<bigint>")
-    rows = materialise(rows, "overlap-prints")
-    each = rows.select("class", "size", "t", "e", F.explode("fps").alias("fp"))
-    counts = each.groupBy("fp").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.count(F.lit(1)).alias("n"))
-    counts = counts.where((F.col("nt") > 0) & (F.col("ne") > 0) & (F.col("n") > 1)).select("fp", (F.col("nt") * F.col("ne") > hot_pairs).alias("hot"))
-    both = materialise(each.join(counts, "fp"), "overlap-shared")
-    hot = both.where("hot").drop("hot").join(rows.select("class", F.explode("rare").alias("w")), "class")
-    cold = both.where(~F.col("hot")).select("fp", F.lit(0).cast("bigint").alias("w"), "class", "size", "t", "e")
-    keyed = cold.unionByName(hot.select("fp", "w", "class", "size", "t", "e"))
-    train = keyed.where("t").select("fp", "w", F.col("class").alias("train"), F.col("size").alias("train_size"))
-    held = keyed.where("e").select("fp", "w", F.col("class").alias("eval"), F.col("size").alias("eval_size"))
-    near = (F.col("train_size") * 100 >= F.col("eval_size") * SIMILARITY) & (F.col("eval_size") * 100 >= F.col("train_size") * SIMILARITY)
-    pairs = train.join(held, ["fp", "w"]).where(near & (F.col("train") != F.col("eval"))).select("train", "eval").distinct()
+                bands.append(band(len(distinct)))
+                sums.append(word_sum(_hash(distinct)))
+                found.append(keys(len(distinct), _hash(prefix(distinct, often)).view(np.int64).tolist()))
+            cols = [b.column(0), pa.array(sizes, pa.int32()), pa.array(bands, pa.int32()), b.column(2), b.column(3), pa.array(sums, pa.list_(pa.int64())), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["class", "size", "band", "t", "e", "sum", "keys"])
+
+    shape = "class string, size int, band int, t boolean, e boolean, sum array<bigint>, keys array<struct<w: bigint, at: int, low: int, high: int>>"
+    rows = classes.select("class", "words", "t", "e").mapInArrow(prefixes, shape)
+    rows = materialise(rows, "overlap-prefixes")
+    each = rows.select("class", "size", "band", "t", "e", "sum", F.inline("keys"))
+    counts = each.groupBy("w").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.count(F.lit(1)).alias("n"))
+    counts = counts.where((F.col("nt") > 0) & (F.col("ne") > 0) & (F.col("n") > 1)).select("w", (F.col("nt") * F.col("ne") > hot_pairs).alias("hot"))
+    both = each.join(counts, "w")
+    # Cold words meet whatever the sizes; hot ones only in the bands of both sizes.
+    to = F.explode(F.when(F.col("hot"), F.sequence("low", "high")).otherwise(F.array(F.lit(-1)))).alias("to")
+    keyed = both.select("w", "class", "size", "at", "sum", "t", "e", F.when(F.col("hot"), F.col("band")).otherwise(-1).alias("own"), to)
+    keyed = materialise(keyed, "overlap-keys")
+    side = lambda name, own, to: [F.col(own).alias("train_band"), F.col(to).alias("eval_band"), F.col("class").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "at", "sum")]]
+    train = keyed.where("t").select("w", *side("train", "own", "to"))
+    held = keyed.where("e").select("w", *side("eval", "to", "own"))
+    n, m = F.col("train_size"), F.col("eval_size")
+    near = (n * 100 >= m * SIMILARITY) & (m * 100 >= n * SIMILARITY)
+    reach = (1 + F.least(n - F.col("train_at"), m - F.col("eval_at"))) * (100 + SIMILARITY) >= (n + m) * SIMILARITY
+    apart = sum((F.bit_count(F.col("train_sum")[k].bitwiseXOR(F.col("eval_sum")[k])) for k in range(4)), F.lit(0))
+    close = apart * (100 + SIMILARITY) <= (n + m) * (100 - SIMILARITY)
+    pairs = train.join(held, ["w", "train_band", "eval_band"]).where(near & reach & close & (F.col("train") != F.col("eval"))).select("train", "eval").distinct()
     text = lambda side: classes.select(F.col("class").alias(side), F.col("words").alias(f"{side}_text"))
     pairs = pairs.join(text("train"), "train").join(text("eval"), "eval")
 

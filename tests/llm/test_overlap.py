@@ -50,6 +50,17 @@ def test_hot_fingerprints_lose_nothing(spark):
     assert pairs(spark, rows) == brute(rows)
 
 
+def test_many_differing_numbers(spark):
+    base = [f"{w}{'x' * (k % 5)}" for k, w in enumerate(WORDS[:100])]
+    swap = lambda n, length: " ".join([*base[:length], *(str(100000 + n * 50 + k) for k in range(8))])
+    rows = [(f"t{n}", swap(n, length), "train") for n, length in ((0, 60), (2, 100))]
+    rows += [(f"e{n}", swap(n + 1, length), "test") for n, length in ((0, 60), (2, 100))]
+    rows += [("e4", " ".join(base[:60]), "validation")]
+    want = brute(rows)
+    assert {("e0", "t0"), ("e2", "t2"), ("e4", "t0")} <= want
+    assert pairs(spark, rows) == want
+
+
 def test_odd_records(spark):
     text = "Éclair lot seven failed the seal check twice in spring"
     rows = [("a", text, "train"), ("b", "ECLAIR, lot seven: failed the seal-check twice in spring!", "gold_evaluation"), ("a", text, "train"), ("c", text, "excluded"), ("d", None, "test"), ("e", " ", "test"), ("f", "[FDA reason missing] ", "test"), ("g", "[fda reason missing]", "train"), (None, text, "test"), ("h", "?!", "test"), ("i", text, None), ("j", "one two", "train"), ("k", "two one", "test")]
