@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apothecary.functions import names as N
+from apothecary.functions.text import is_blank
 from apothecary.operators import classify, components, modeling
 from apothecary.session import spread
 from apothecary.sources.tables import table
@@ -158,6 +159,8 @@ def stratified_split(spark, d):
 
 # Records of several sources
 
+#: What ties records that must not be parted between training and evaluation.
+_LEAKS = ("incident_id", "reason_text_id")
 _POOL = "(select distinct candidate_id, split, source, incident_id, reason_text_id, annotation_origin, event.primary_cause as cause, sample_weight from phase11_examples)"
 
 
@@ -180,12 +183,14 @@ def leakage_checks(spark, d):
 @query(f"""with p as {_POOL}, g as (select * from p where split = 'gold_evaluation') select candidate_id from p where split <> 'gold_evaluation'
 and incident_id not in (select incident_id from g where incident_id is not null) and reason_text_id not in (select reason_text_id from g where reason_text_id is not null)""")
 def quarantine_gold_connected(spark, d):
-    """Records that share neither incident nor text with a gold record; records without either id are kept out."""
+    """Records that no chain of incidents and texts ties to a gold record; records without either id are kept out."""
     rows = _pool(spark, d)
-    gold = rows.where("split = 'gold_evaluation'")
-    rest = rows.where("split <> 'gold_evaluation' and incident_id is not null and reason_text_id is not null")
-    rest = rest.join(gold.select("incident_id").distinct(), "incident_id", "left_anti")
-    return rest.join(gold.select("reason_text_id").distinct(), "reason_text_id", "left_anti").select("candidate_id")
+    sets = components.components(components.ties(rows, "candidate_id", _LEAKS))
+    node = components.record_node(rows.select("candidate_id", *_LEAKS), "candidate_id")
+    tied = rows.withColumn("node", node).join(sets, "node")
+    gold = tied.where("split = 'gold_evaluation'").select("label").distinct()
+    rest = tied.where((F.col("split") != "gold_evaluation") & ~is_blank(F.col("incident_id")) & ~is_blank(F.col("reason_text_id")))
+    return rest.join(gold, "label", "left_anti").select("candidate_id")
 
 
 @query("""with l as (select candidate_id, arg_min(event.primary_cause, snapshot) as cause from phase12_examples where event.primary_cause is not null group by 1), p as (select distinct candidate_id, event.primary_cause as guess, source from phase11_examples)
