@@ -287,8 +287,8 @@ def corpus_queue(spark, d):
 reach(node, other) as (select node, node from e union select r.node, b.node from reach r join e a on a.node = r.other join e b on b.entity = a.entity)
 select node as candidate_id, min(other) as component from reach group by node""")
 def leakage_components(spark, d):
-    """The smallest record each record is tied to, through incidents and split groups; components are not gathered anywhere."""
-    sets = components.components(components.ties(table(spark, d, "phase12_examples"), "candidate_id", ("incident_id", "split_group_id")))
+    """The smallest record each record is tied to, through incidents and texts; components are not gathered anywhere."""
+    sets = components.components(components.ties(table(spark, d, "phase12_examples"), "candidate_id", _LEAKS))
     return sets.select(F.col("node").alias("candidate_id"), F.col("label").alias("component"))
 
 

@@ -11,3 +11,10 @@ def test_quarantine_follows_chains(spark, tmp_path):
     spark.createDataFrame(rows, POOL).write.parquet(f"{tmp_path}/phase11_examples.parquet")
     got = {r[0] for r in modeling.quarantine_gold_connected(spark, str(tmp_path)).collect()}
     assert got == {"free", "also"}
+
+
+def test_components_join_incidents_and_texts(spark, tmp_path):
+    rows = [("a", "i1", "t1", "g1"), ("b", "i2", "t1", "g2"), ("c", "I 2", "t3", "g3"), ("d", "i4", "t4", "g4"), ("e", "i5", "t5", "g4"), ("f", None, "t4", None)]
+    spark.createDataFrame(rows, "candidate_id string, incident_id string, reason_text_id string, split_group_id string").write.parquet(f"{tmp_path}/phase12_examples.parquet")
+    got = {tuple(r) for r in modeling.leakage_components(spark, str(tmp_path)).select("candidate_id", "component").collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("f", "d")}
