@@ -61,6 +61,21 @@ def test_many_differing_numbers(spark):
     assert pairs(spark, rows) == want
 
 
+def test_scattered_edits(spark):
+    rng, rows = random.Random(11), []
+    for length, edits in ((16, 2), (20, 2), (30, 4), (60, 8)):
+        for k in range(30):
+            base = rng.sample(WORDS, length)
+            changed = list(base)
+            for p in [(k + (j + 1) * length // (edits + 1)) % length for j in range(edits)]:
+                changed[p] = f"x{length}{k}{p}"
+            rows += [(f"t{length}{k:02d}", " ".join(base), "train"), (f"e{length}{k:02d}", " ".join(changed), "test")]
+        base = rng.sample(WORDS, length)
+        rows += [(f"t{length}s", " ".join(base), "train"), (f"e{length}s", " ".join(rng.sample(base, length)), "test")]
+    want = brute(rows)
+    assert len(want) >= 4 * 31 and pairs(spark, rows) == want
+
+
 def test_odd_records(spark):
     text = "Éclair lot seven failed the seal check twice in spring"
     rows = [("a", text, "train"), ("b", "ECLAIR, lot seven: failed the seal-check twice in spring!", "gold_evaluation"), ("a", text, "train"), ("c", text, "excluded"), ("d", None, "test"), ("e", " ", "test"), ("f", "[FDA reason missing] ", "test"), ("g", "[fda reason missing]", "train"), (None, text, "test"), ("h", "?!", "test"), ("i", text, None), ("j", "one two", "train"), ("k", "two one", "test")]
