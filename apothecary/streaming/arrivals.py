@@ -1,23 +1,26 @@
 """Structured Streaming forms: deliveries that arrive as files, and event windows with late rows.
 
-A file-source stream reads new deliveries as they land; each micro-batch updates the
-snapshot index and appends the changes it finds. Events are counted in watermarked
+A file-source stream reads new deliveries as they land; each micro-batch adds its rows
+to their snapshots, kept beside the checkpoint, and writes anew the changes of each
+snapshot it adds to and of the one after it. Events are counted in watermarked
 windows, repeated events dropped within the watermark.
 
-Defined cases: an empty micro-batch changes nothing; a batch that holds several
-snapshots is worked off in snapshot order; rows later than the watermark are dropped;
+Defined cases: an empty micro-batch changes nothing; a snapshot may arrive in any number
+of files, micro-batches and runs, its changes hold for what has arrived of it and are
+replaced when more does; rows later than the watermark are dropped;
 events without time or id are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from apothecary.functions.text import strip
+from apothecary.functions.text import is_blank, strip
 from apothecary.operators.snapshots import Feed, SnapshotIndex, digest, probe
 from apothecary.session import width
 
@@ -27,31 +30,58 @@ def read_deliveries(spark: SparkSession, path: str, schema, max_files: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(path)
 
 
-def change_writer(feed: Feed, out: str, buckets: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps one bucketed index and appends changes to ``out``.
+_NAME = "snapshot_name="
 
-    A batch that is replayed after a failure overwrites its own part of ``out``.
+
+def _kept_names(spark: SparkSession, kept: str) -> list[str]:
+    """Names of all snapshots of which anything has arrived, in order."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(unquote(n[len(_NAME) :]) for n in found if n.startswith(_NAME))
+
+
+def change_writer(feed: Feed, out: str, kept: str, buckets: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the rows of each snapshot in ``kept`` and its changes in ``out``.
+
+    Nothing lives in the driver between batches. A batch that is replayed after a failure
+    overwrites its own part of ``kept``, and changes are written whole for each snapshot.
     """
-    state: dict[str, SnapshotIndex | None] = {"index": None}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.where(F.col("snapshot").isNotNull()).withColumn("snapshot", strip(F.col("snapshot")))
-        for name in sorted(r[0] for r in rows.select("snapshot").distinct().collect()):
-            new = SnapshotIndex(spark, digest(rows.where(F.col("snapshot") == name), feed), buckets or width(spark))
-            if state["index"] is not None:
-                changes = probe(state["index"].rows(), new.rows()).withColumn("snapshot", F.lit(name))
-                path = f"{out}/batch={batch_id}/snapshot_name={name}"
-                changes.write.mode("overwrite").parquet(path)
-                state["index"].drop()
-            state["index"] = new
+        rows = batch.withColumn("snapshot", strip(F.col("snapshot"))).where(~is_blank(F.col("snapshot")))
+        touched = sorted(r[0] for r in rows.select("snapshot").distinct().collect())
+        for name in touched:
+            rows.where(F.col("snapshot") == name).write.mode("overwrite").parquet(f"{kept}/{_NAME}{quote(name, safe='')}/batch={batch_id}")
+        names = _kept_names(spark, kept)
+        indexes: dict[str, SnapshotIndex] = {}
+
+        def index(name: str) -> DataFrame:
+            if name not in indexes:
+                arrived = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{kept}/{_NAME}{quote(name, safe='')}")
+                indexes[name] = SnapshotIndex(spark, digest(arrived, feed), buckets or width(spark))
+            return indexes[name].rows()
+
+        try:
+            for old, new in zip(names, names[1:]):
+                if old in touched or new in touched:
+                    changes = probe(index(old), index(new)).withColumn("snapshot", F.lit(new))
+                    changes.write.mode("overwrite").parquet(f"{out}/{_NAME}{quote(new, safe='')}")
+        finally:
+            for i in indexes.values():
+                i.drop()
 
     return write
 
 
 def stream_changes(deliveries: DataFrame, feed: Feed, out: str, checkpoint: str, buckets: int | None = None) -> StreamingQuery:
-    """Work off everything that has arrived, then stop: the scheduled form of the snapshot difference."""
-    return deliveries.writeStream.foreachBatch(change_writer(feed, out, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Work off everything that has arrived, then stop: the scheduled form of the snapshot difference.
+
+    The next run goes on where this one stopped; snapshots are kept beside ``checkpoint``.
+    """
+    kept = f"{checkpoint.rstrip('/')}-snapshots"
+    return deliveries.writeStream.foreachBatch(change_writer(feed, out, kept, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_changes(spark: SparkSession, out: str) -> DataFrame:

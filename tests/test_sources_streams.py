@@ -59,6 +59,25 @@ def test_stream_of_deliveries(spark, tmp_path):
     assert got == {("b", "D-1", "changed"), ("b", "D-2", "removed"), ("b", "D-3", "added")}
 
 
+def test_deliveries_over_runs_and_triggers(spark, tmp_path):
+    schema = "row_id bigint, snapshot string, ingested_at timestamp, recall_number string, status string, classification string"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed = Feed("recalls", ("status", "classification"))
+
+    def run(rows):
+        for r in rows:
+            spark.createDataFrame([(r[0], r[1], T0, r[2], r[3], "c")], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = arrivals.read_deliveries(spark, source, spark.createDataFrame([], schema).schema, 1)
+        query = arrivals.stream_changes(stream, feed, out, str(tmp_path / "cp"), 2)
+        assert query.awaitTermination(120)
+
+    run([(1, "a", "D-1", "x"), (2, "a", "D-2", "x")])
+    run([(3, "b", "D-1", "y"), (4, "b", "D-2", "x")])
+    run([(5, "b", "D-3", "x"), (6, "c", "D-1", "y")])
+    got = sorted((r["snapshot"], r["record_key"], r["change_kind"]) for r in arrivals.read_changes(spark, out).collect())
+    assert got == [("b", "D-1", "changed"), ("b", "D-3", "added"), ("c", "D-2", "removed"), ("c", "D-3", "removed")]
+
+
 def test_event_stream(spark, tmp_path):
     schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
     rows = [(1, T0, 1, "a", 1.0), (1, T0, 1, "a", 1.0), (2, T0 + dt.timedelta(minutes=5), 1, "a", 2.0), (3, T0 + dt.timedelta(hours=3), 1, "a", 4.0), (4, None, 1, "a", 9.0)]
