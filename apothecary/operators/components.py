@@ -3,7 +3,7 @@
 Labels spread over the bipartite graph of records and entities: each entity takes the
 smallest label of its records, each record the smallest of its entities, then each
 label its own label (pointer jumping), until nothing changes. A label is the smallest
-record id seen so far. Every round is written to the shared folder.
+record id seen so far. Every round is written to the shared folder, and the round before deleted.
 
 Skew: an entity with very many records is salted by record id; a label with very many
 records is resolved by a map of at most a thousand entries. Both limits follow from the
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apothecary.functions.text import is_blank, squash
-from apothecary.session import materialise
+from apothecary.session import materialise, release
 
 HOT_ROWS = 100_000
 HOT_KEYS = 1_000
@@ -49,16 +49,17 @@ def lookup(pairs: dict, key: Column, otherwise: Column) -> Column:
 def components(ties: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """node, label of the bipartite edges ``ties`` (node, entity): label is the smallest node of the set."""
     edges = ties.where(F.col("entity").isNotNull()).distinct()
-    edges = materialise(edges, "component-edges")
+    edges = written = materialise(edges, "component-edges")
     total = edges.count()
     limit = max(hot_rows, total // HOT_KEYS)
     degrees = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
     salts = {r["entity"]: 1 + r["n"] // max(1, limit // 2) for r in degrees.collect()}
     n_salt = lookup(salts, F.col("entity"), F.lit(1).cast("bigint"))
     edges = edges.withColumn("salt", F.pmod(F.xxhash64("node"), n_salt))
-    labels = edges.select("node").distinct().withColumn("label", F.col("node"))
+    labels = None
     while True:
-        spread = edges.join(labels, "node")
+        # At first each record is its own label.
+        spread = edges.join(labels, "node") if labels is not None else edges.withColumn("label", F.col("node"))
         least = spread.groupBy("entity").agg(F.min("label").alias("label"))
         least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), n_salt - 1)))
         stepped = edges.join(least, ["entity", "salt"]).groupBy("node").agg(F.min("label").alias("label"))
@@ -73,10 +74,16 @@ def components(ties: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         jumped = stepped.withColumn("at", key).join(to, "at", "left")
         jumped = jumped.select("node", F.least("label", F.coalesce("target", lookup(targets, F.col("label"), F.col("label")))).alias("label"))
         jumped = materialise(jumped, "component-labels")
-        before = labels.select("node", F.col("label").alias("was"))
-        moved = jumped.join(before, "node").where(F.col("label") != F.col("was")).limit(1).count()
+        release(stepped)
+        if labels is not None:
+            before = labels.select("node", F.col("label").alias("was"))
+            moved = jumped.join(before, "node").where(F.col("label") != F.col("was")).limit(1).count()
+        else:
+            moved = jumped.where(F.col("label") != F.col("node")).limit(1).count()
+        release(labels)
         labels = jumped
         if not moved:
+            release(written)
             return labels
 
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apothecary.functions.names import display_key, normalize_application, normalize_strength, words
 from apothecary.functions.text import normalize_ndc
+from apothecary.operators import ranges
 
 
 def surrogate(names: DataFrame, name: str, key: str) -> DataFrame:
     """Dense ids in name order. Ranges are ranked apart and offset by their totals, so no task sorts all names."""
-    ranged = names.select(name).where(F.col(name).isNotNull()).distinct().repartitionByRange(name).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), "_p").select((F.row_number().over(Window.partitionBy("_p").orderBy(name)) + F.col("_before")).cast("bigint").alias(key), name)
+    distinct = names.select(name).where(F.col(name).isNotNull()).distinct()
+    return ranges.numbered(distinct, [], [F.col(name)], key).select(key, name)
 
 
 def display_names(df: DataFrame, raw: str, pos: Column) -> DataFrame:

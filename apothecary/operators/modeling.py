@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apothecary.operators import ranges
+
 
 def duplication(df: DataFrame, text: Column) -> DataFrame:
     """records, texts, repeated_texts, excess: how much of a table repeats."""
@@ -59,10 +61,15 @@ def oversample(df: DataFrame, times: Column) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
 
 
+def seeded(row: str, seed: str = "seed") -> Column:
+    """The hash that puts rows in a random but fixed order."""
+    return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(row)), 256)
+
+
 def ranked_sample(df: DataFrame, stratum: str, row: str, quota: Column) -> DataFrame:
-    """The first ``quota`` rows of each stratum in seeded hash order."""
-    w = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit("seed|"), F.col(row)), 256), row)
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("_q", quota).where(F.col("_n") <= F.col("_q")).drop("_n", "_q")
+    """The first ``quota`` rows of each stratum in seeded hash order; hash ranges are ranked apart, so a stratum of any size is no burden."""
+    ranked = ranges.by_hash(df, [stratum], seeded(row), row, "_n")
+    return ranked.withColumn("_q", quota).where(F.col("_n") <= F.col("_q")).drop("_n", "_q")
 
 
 def agreement(df: DataFrame, truth: Column, guess: Column, by: Column) -> DataFrame:
@@ -74,15 +81,16 @@ def agreement(df: DataFrame, truth: Column, guess: Column, by: Column) -> DataFr
 def nearest_rank(df: DataFrame, by: str, value: str) -> DataFrame:
     """by, n, mean, median, p95 with the nearest rank ``floor(0.95 n)`` from zero.
 
-    Exact ranks come from a count a distinct value, so a group is never collected as a list.
+    Exact ranks come from running counts of the distinct values over value ranges, so no group is
+    collected as a list or sorted in one task.
     """
     each = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(by).orderBy(value)
-    whole = Window.partitionBy(by)
-    run = each.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(whole)})
+    run = ranges.running(each, [by], [F.col(value)], "c", "upto")
+    sizes = each.groupBy(by).agg(F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("sum")).withColumnRenamed(by, "_by")
+    run = run.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
     p95 = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    return run.groupBy(by).agg(F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 6).alias("mean"), F.round((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2, 6).alias("median"), at(p95).alias("p95"))
+    return run.groupBy(by).agg(F.max("n").alias("n"), F.round(F.max("sum") / F.max("n"), 6).alias("mean"), F.round((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2, 6).alias("median"), at(p95).alias("p95"))
 
 
 def missing_report(df: DataFrame, flags: dict[str, Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apothecary.functions import names as N
 from apothecary.functions.text import is_blank
-from apothecary.operators import classify, components, modeling
+from apothecary.operators import classify, components, modeling, ranges
 from apothecary.session import spread
 from apothecary.sources.tables import table
 
@@ -151,8 +151,7 @@ def stratified_split(spark, d):
     rows = table(spark, d, "phase12_examples").select("candidate_id", F.col("event.primary_cause").alias("cause")).distinct()
     sizes = rows.groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
     part = F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.bround(F.col("n") * 0.15, 0))).otherwise(0)
-    w = Window.partitionBy("cause").orderBy(F.sha2(F.concat(F.lit("seed|"), "candidate_id"), 256), "candidate_id")
-    ranked = rows.join(sizes, "cause").withColumns({"r": F.row_number().over(w), "part": part})
+    ranked = ranges.by_hash(rows.join(sizes, "cause"), ["cause"], modeling.seeded("candidate_id"), "candidate_id", "r").withColumn("part", part)
     split = F.when(F.col("r") <= F.col("part"), "validation").when(F.col("r") <= 2 * F.col("part"), "test").otherwise("train")
     return ranked.select("candidate_id", "cause", split.alias("split"))
 

@@ -8,13 +8,14 @@ whole or not at all and never overwritten; a missing snapshot folder lists as em
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apothecary.session import scratch
+from apothecary.session import discard, file_system as _fs
 
 SNAPSHOT = re.compile(r"^\d{4}-\d{2}-\d{2}_\d{2}$")
 
@@ -51,7 +52,10 @@ def read_envelope(spark: SparkSession, path: str, record: T.StructType) -> DataF
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines that must all fit the schema; blank lines are skipped."""
+    """JSON lines that must all fit the schema; blank lines are skipped; a missing file is empty."""
+    fs, p = _fs(spark, path)
+    if not (fs.globStatus(p) or []):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -61,15 +65,11 @@ def last_line_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), order).alias("r")).select("r.*")
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def write_snapshot(tables: dict[str, DataFrame], root: str, name: str, expected: dict[str, int] | None = None) -> None:
-    """Publish a snapshot: written beside its place, counted, then renamed in one step.
+    """Publish a snapshot: written to a hidden folder beside its place, counted, then renamed in one step.
 
-    ``expected`` holds the counts a delivery claims; a difference publishes nothing.
+    ``expected`` holds the counts a delivery claims; a difference, or a missing table, publishes
+    nothing and leaves nothing behind.
     """
     if not SNAPSHOT.match(name):
         raise ValueError(f"not a snapshot name: {name}")
@@ -77,19 +77,22 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, name: str, expected:
     fs, target = _fs(spark, f"{root}/{name}")
     if fs.exists(target):
         raise FileExistsError(f"{root}/{name}")
-    held = scratch(spark, "snapshot")
-    counts = {}
-    for t, df in tables.items():
-        df.write.parquet(f"{held}/{t}")
-        counts[t] = spark.read.schema(df.schema).parquet(f"{held}/{t}").count()
-    for t, n in (expected or {}).items():
-        if counts.get(t) != n:
-            raise ValueError(f"{t}: {counts.get(t)} rows, {n} expected; nothing was published")
-    manifest = spark.createDataFrame([(name, t, n) for t, n in sorted(counts.items())], "snapshot string, source string, records bigint")
-    manifest.write.parquet(f"{held}/manifest")
-    fs.mkdirs(target.getParent())
-    if not fs.rename(_fs(spark, held)[1], target):
-        raise FileExistsError(f"{root}/{name}")
+    held = f"{root}/.{name}-{uuid.uuid4().hex}"
+    try:
+        counts = {}
+        for t, df in tables.items():
+            df.write.parquet(f"{held}/{t}")
+            counts[t] = spark.read.schema(df.schema).parquet(f"{held}/{t}").count()
+        for t, n in (expected or {}).items():
+            if counts.get(t) != n:
+                raise ValueError(f"{t}: {counts.get(t)} rows, {n} expected; nothing was published")
+        manifest = spark.createDataFrame([(name, t, n) for t, n in sorted(counts.items())], "snapshot string, source string, records bigint")
+        manifest.write.parquet(f"{held}/manifest")
+        if not fs.rename(_fs(spark, held)[1], target):
+            raise FileExistsError(f"{root}/{name}")
+    except BaseException:
+        discard(spark, held)
+        raise
 
 
 def complete_snapshots(spark: SparkSession, root: str, needed: tuple[str, ...]) -> list[str]:
@@ -102,7 +105,40 @@ def complete_snapshots(spark: SparkSession, root: str, needed: tuple[str, ...])
     return sorted(n for n in names if SNAPSHOT.match(n) and whole(n))
 
 
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in the place of the Parquet table at ``path``, which may be among what ``rows`` reads.
+
+    The new table is written beside the old one and takes its place by renaming; a failure
+    before that leaves the old table as it was.
+    """
+    spark = rows.sparkSession
+    fs, target = _fs(spark, path)
+    held, old = f"{target.getParent()}/.{target.getName()}-{uuid.uuid4().hex}", f"{target.getParent()}/.{target.getName()}-{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(held)
+    except BaseException:
+        discard(spark, held)
+        raise
+    if fs.exists(target):
+        fs.rename(target, _fs(spark, old)[1])
+    if not fs.rename(_fs(spark, held)[1], target):
+        raise FileExistsError(path)
+    discard(spark, old)
+
+
+def append_new(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows whose key the Parquet table at ``path`` does not hold yet, each key once.
+
+    A run that is repeated adds nothing: what was appended before is found by its key.
+    """
+    fs, target = _fs(rows.sparkSession, path)
+    fresh = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    if fs.exists(target):
+        fresh = fresh.join(rows.sparkSession.read.schema(rows.schema).parquet(path).select(key), key, "left_anti")
+    fresh.select(*rows.columns).write.mode("append").parquet(path)
+
+
 def write_splits(rows: DataFrame, path: str) -> None:
-    """One folder of JSON lines a split, with a manifest of counts beside them."""
+    """One folder of JSON lines a split, with a manifest of counts beside them; ``path`` must be new."""
     rows.write.partitionBy("split").mode("errorifexists").json(f"{path}/rows")
     rows.groupBy("split").agg(F.count(F.lit(1)).alias("records")).coalesce(1).write.json(f"{path}/manifest")
