@@ -179,8 +179,9 @@ def leakage_checks(spark, d):
     return train.intersect(rows.where(F.col("split").isin("validation", "test", "gold_evaluation")).select("reason_text_id")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query(f"""with p as {_POOL}, g as (select * from p where split = 'gold_evaluation') select candidate_id from p where split <> 'gold_evaluation'
-and incident_id not in (select incident_id from g where incident_id is not null) and reason_text_id not in (select reason_text_id from g where reason_text_id is not null)""")
+@query(f"""with recursive p as {_POOL}, e as (select distinct candidate_id as node, x as entity from (select candidate_id, unnest([nullif('i:' || lower(regexp_replace(incident_id, '\\s', '', 'g')), 'i:'), nullif('t:' || lower(regexp_replace(reason_text_id, '\\s', '', 'g')), 't:')]) as x from p) where x is not null),
+tied(node) as (select candidate_id from p where split = 'gold_evaluation' union select b.node from tied t join e a on a.node = t.node join e b on b.entity = a.entity)
+select candidate_id from p where split <> 'gold_evaluation' and trim(incident_id) <> '' and trim(reason_text_id) <> '' and candidate_id not in (select node from tied)""")
 def quarantine_gold_connected(spark, d):
     """Records that no chain of incidents and texts ties to a gold record; records without either id are kept out."""
     rows = _pool(spark, d)
@@ -282,7 +283,7 @@ def corpus_queue(spark, d):
     return units.join(first, same).select(units["event_id"], units["text"], "filings", "firm", "first_numbers")
 
 
-@query("""with recursive e as (select distinct candidate_id as node, x as entity from (select candidate_id, unnest([nullif('i:' || lower(regexp_replace(incident_id, '\\s', '', 'g')), 'i:'), nullif('g:' || lower(regexp_replace(split_group_id, '\\s', '', 'g')), 'g:')]) as x from phase12_examples) where x is not null),
+@query("""with recursive e as (select distinct candidate_id as node, x as entity from (select candidate_id, unnest([nullif('i:' || lower(regexp_replace(incident_id, '\\s', '', 'g')), 'i:'), nullif('t:' || lower(regexp_replace(reason_text_id, '\\s', '', 'g')), 't:')]) as x from phase12_examples) where x is not null),
 reach(node, other) as (select node, node from e union select r.node, b.node from reach r join e a on a.node = r.other join e b on b.entity = a.entity)
 select node as candidate_id, min(other) as component from reach group by node""")
 def leakage_components(spark, d):
