@@ -23,6 +23,10 @@ from apothecary.functions.text import is_blank, record_key, strip
 from apothecary.session import discard, materialise, scratch, width
 
 
+#: Row pointers that may be broadcast: eight bytes each, some megabytes at most.
+FEW_CHANGES = 200_000
+
+
 @dataclass(frozen=True)
 class Feed:
     """How one feed names its keys and what counts as a change."""
@@ -89,18 +93,22 @@ def probe(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.where(~F.col("old_digest").eqNullSafe(F.col("new_digest"))).select("feed", "record_key", kind.alias("change_kind"), "old_row_id", "new_row_id")
 
 
-def snapshot_names(tables: dict[str, DataFrame]) -> list[str]:
-    """Names of all deliveries in order: one short string a delivery, not a row's worth of data."""
-    names = reduce(DataFrame.unionByName, [df.select(strip(F.col("snapshot")).alias("snapshot")) for df in tables.values()])
-    return sorted(r[0] for r in names.where(~is_blank(F.col("snapshot"))).distinct().collect())
+def snapshot_names(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Names of all deliveries in order, each with its spellings in the tables: a few short strings a delivery."""
+    names = reduce(DataFrame.unionByName, [df.select("snapshot") for df in tables.values()]).where(~is_blank(F.col("snapshot")))
+    spellings: dict[str, list[str]] = {}
+    for raw, name in sorted(names.select("snapshot", strip(F.col("snapshot"))).distinct().collect()):
+        spellings.setdefault(name, []).append(raw)
+    return dict(sorted(spellings.items()))
 
 
 def changes(spark: SparkSession, tables: dict[str, DataFrame], feeds: tuple[Feed, ...] = FEEDS, buckets: int | None = None) -> DataFrame:
     """All changes between consecutive snapshots: feed, snapshot (the later), record_key, change_kind, row pointers."""
     buckets = buckets or width(spark)
     found, index = [], None
-    for name in snapshot_names(tables):
-        of = [digest(tables[f.name].where(strip(F.col("snapshot")) == name), f) for f in feeds]
+    for name, spellings in snapshot_names(tables).items():
+        # Plain equality reaches the scan, so parts of the table that hold other snapshots are not read.
+        of = [digest(tables[f.name].where(F.col("snapshot").isin(spellings)), f) for f in feeds]
         new = SnapshotIndex(spark, reduce(DataFrame.unionByName, of), buckets)
         if index is not None:
             found.append(materialise(probe(index.rows(), new.rows()).withColumn("snapshot", F.lit(name)), "snapshot-changes"))
@@ -113,14 +121,27 @@ def changes(spark: SparkSession, tables: dict[str, DataFrame], feeds: tuple[Feed
     return reduce(DataFrame.unionByName, found)
 
 
+def _side(changed: DataFrame, side: str, rows: DataFrame, watched: tuple[str, ...], few: bool) -> DataFrame:
+    """``changed`` with the watched values of its rows of one side, fetched by row pointer."""
+    wanted = changed.select(F.col(f"{side}_row_id").alias("row_id")).distinct()
+    values = F.map_from_arrays(F.array(*map(F.lit, watched)), F.array(*map(F.col, watched))).alias(side)
+    got = rows.join(F.broadcast(wanted) if few else wanted, "row_id", "left_semi").select(F.col("row_id").alias(f"{side}_row_id"), values)
+    return changed.join(got, f"{side}_row_id")
+
+
 def field_changes(spark: SparkSession, tables: dict[str, DataFrame], feeds: tuple[Feed, ...] = FEEDS, buckets: int | None = None) -> DataFrame:
-    """One row per changed field with its value before and after; rows are fetched for changes only."""
-    changed = changes(spark, tables, feeds, buckets).where(F.col("change_kind") == "changed")
+    """One row per changed field with its value before and after.
+
+    Only rows that a change points to leave the scan: up to ``FEW_CHANGES`` pointers are
+    sent to all tasks, more meet the table in a shuffle of its pointers and watched fields.
+    """
+    changed = materialise(changes(spark, tables, feeds, buckets).where(F.col("change_kind") == "changed"), "snapshot-changed")
+    few = changed.count() <= FEW_CHANGES
     parts = []
     for f in feeds:
-        values = lambda side: tables[f.name].select(F.col("row_id").alias(f"{side}_row_id"), F.map_from_arrays(F.array(*map(F.lit, f.watched)), F.array(*map(F.col, f.watched))).alias(side))  # noqa: E731, B023
-        both = changed.where(F.col("feed") == f.name).join(values("old"), "old_row_id").join(values("new"), "new_row_id")
-        rows = both.select("feed", "snapshot", "record_key", F.explode(F.array(*map(F.lit, f.watched))).alias("field"), "old", "new")
-        rows = rows.select("feed", "snapshot", "record_key", "field", F.col("old")[F.col("field")].alias("old_value"), F.col("new")[F.col("field")].alias("new_value"))
-        parts.append(rows.where(~F.lower(strip(F.col("old_value"))).eqNullSafe(F.lower(strip(F.col("new_value"))))))
+        rows = tables[f.name].select("row_id", *f.watched)
+        both = _side(_side(changed.where(F.col("feed") == f.name), "old", rows, f.watched, few), "new", rows, f.watched, few)
+        both = both.select("feed", "snapshot", "record_key", F.explode(F.array(*map(F.lit, f.watched))).alias("field"), "old", "new")
+        both = both.select("feed", "snapshot", "record_key", "field", F.col("old")[F.col("field")].alias("old_value"), F.col("new")[F.col("field")].alias("new_value"))
+        parts.append(both.where(~F.lower(strip(F.col("old_value"))).eqNullSafe(F.lower(strip(F.col("new_value"))))))
     return reduce(DataFrame.unionByName, parts)

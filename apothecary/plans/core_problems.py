@@ -93,4 +93,12 @@ new as (select l.* from last l where snapshot in (select later from names))
 select coalesce(o.feed, n.feed) as feed, coalesce(o.snapshot, n.snapshot) as snapshot, coalesce(o.k, n.k) as record_key, case when o.k is null then 'added' when n.k is null then 'removed' else 'changed' end as change_kind
 from old o full join new n on o.feed = n.feed and o.snapshot = n.snapshot and o.k = n.k where o.k is null or n.k is null or o.a is distinct from n.a or o.b is distinct from n.b"""
 
-SQL: dict[str, str] = {"p2_found": _CHANGES, "p7_found": _nested_sql()}
+_FIELD_CHANGES = f"""with rows as (select 'recalls' as feed, snapshot, nullif(upper({N.sql_strip('recall_number')}), '') as k, ingested_at, row_id, status as a, classification as b from recalls
+  union all select 'shortages', snapshot, case when length({N.sql_ndc('package_ndc')}) = 11 then {N.sql_ndc('package_ndc')} end, ingested_at, row_id, status, availability from shortages),
+last as (select feed, snapshot, k, a, b from (select *, row_number() over (partition by feed, snapshot, k order by ingested_at desc nulls last, row_id desc) as r from rows where k is not null and snapshot is not null) where r = 1),
+names as (select snapshot, lead(snapshot) over (order by snapshot) as later from (select distinct snapshot from rows where snapshot is not null)),
+pairs as (select n.feed, n.snapshot, n.k, o.a as oa, n.a as na, o.b as ob, n.b as nb from last o join names m using (snapshot) join last n on n.snapshot = m.later and n.feed = o.feed and n.k = o.k)
+select feed, snapshot, k as record_key, 'status' as field, oa as old_value, na as new_value from pairs where lower({N.sql_strip('oa')}) is distinct from lower({N.sql_strip('na')})
+union all select feed, snapshot, k, case when feed = 'recalls' then 'classification' else 'availability' end, ob, nb from pairs where lower({N.sql_strip('ob')}) is distinct from lower({N.sql_strip('nb')})"""
+
+SQL: dict[str, str] = {"p2_field_changes": _FIELD_CHANGES, "p2_found": _CHANGES, "p7_found": _nested_sql()}
