@@ -1,168 +1,160 @@
 """Flat tables from deeply nested records, by Merkle identities of their subtrees.
 
-Every nested object is brought to a canonical body (its non-null fields in key order,
-its nested objects replaced by their own identities and places) and hashed bottom-up.
-Equal objects are stored once; each place where one stands is kept as a bridge row
-from parent to child with its ordinal, so the records can be put together again.
-
-Defined cases: an element that is NULL or has no non-null field is no object but
-keeps its place; a lone object stands at place 1; a list given as JSON text inside a
-string is read as that list; broken or non-object payloads give nothing; repeated
-records count once; records without an id are left out.
+Every nested object is brought to a canonical body: its non-null scalar fields as text in
+name order, then the places and identities of the objects nested in it. The body's hash is
+the object's identity, so hashing runs bottom-up and equal subtrees have equal identities at
+any depth. Equal objects are stored once; each place where one stands is kept as a bridge
+row from parent to child with its ordinals, so the records can be put together again.
+
+Which fields nest follows from the schema of the typed tables; JSON payloads are read by
+the same tree, parsed once.
+
+Defined cases: an element that is NULL or has no non-null field is no object but keeps its
+place; a lone object stands at place 1; a list given as JSON text inside a string is read
+as that list; broken or non-object payloads and payloads with repeated fields give
+nothing; repeated records count once; records without an id are left out; a list of
+scalars is a scalar field.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Nested lists by name, each with the lists nested in it.
+Tree = dict[str, "Tree"]
+KEYS = {"ndc": "product_id", "drugsfda": "application_number"}
+PLACE = "array<struct<path:string,ordinals:array<int>,object_id:binary,parent_id:binary,body:string>>"
 
-@dataclass(frozen=True)
-class Level:
-    """A nested list: its path from the record and the list nested in it, if any."""
 
-    field: str
-    child: str | None = None
+def _is_list(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
 
 
-LEVELS = {
-    "ndc": (Level("active_ingredients"), Level("packaging")),
-    "drugsfda": (Level("products", "active_ingredients"), Level("submissions", "application_docs")),
-}
-_MAP = "map<string,string>"
+def tree_of(kind: T.StructType) -> Tree:
+    """The nested lists of a record type, to any depth."""
+    return {f.name: tree_of(f.dataType.elementType) for f in kind.fields if _is_list(f.dataType)}
 
 
-def _sound(text: Column) -> Column:
-    """True if the text is one whole JSON value. The parser alone passes over what follows a value;
-    inside an array and inside an object nothing but that value can stand."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _elements(text: Column) -> Column:
-    """JSON texts of the elements of a list that may be a lone object; NULL if it is neither or broken."""
-    t = F.trim(text)
-    listed = F.when(t.startswith("["), F.from_json(t, "array<string>")).when(t.startswith("{"), F.array(t))
-    return F.when(_sound(t), listed)
+def _places(elements: Column, path: str, tree: Tree, present: Callable[[Column], Column], body: Callable[[Column], Column], inner: Callable[[Column, str], Column], read: Callable) -> Column:
+    """Places of all objects in and below a list, children before parents in identity, as one array.
 
+    ``present``, ``body`` and ``inner`` tell of an element whether it is an object, its
+    scalar fields as text and the places below one of its lists.
+    """
 
-def _native_map(e: Column, of: T.StructType, skip: str | None) -> Column:
-    names = [f.name for f in of.fields if f.name != skip]
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[e[n].cast("string") for n in names])), lambda _, v: v.isNotNull())
+    def own(below: Column | None, e: Column, i: Column) -> Column:
+        at = F.array((i + 1).cast("int"))
+        refs = F.array().cast("array<string>") if below is None else F.transform(F.filter(below, lambda p: p["parent_id"].isNull()), lambda p: F.concat_ws(":", p["path"], F.array_join(p["ordinals"], "."), F.lower(F.hex(p["object_id"]))))
 
+        def with_body(text: Column) -> Column:
+            return _let(
+                F.unhex(F.sha2(F.concat_ws("\x1f", F.lit(path), text, F.array_join(refs, "|")), 256)),
+                lambda oid: F.concat(
+                    F.array(F.struct(F.lit(path).alias("path"), at.alias("ordinals"), oid.alias("object_id"), F.lit(None).cast("binary").alias("parent_id"), text.alias("body"))),
+                    F.array().cast(PLACE) if below is None else F.transform(below, lambda p: F.struct(p["path"].alias("path"), F.concat(at, p["ordinals"]).alias("ordinals"), p["object_id"].alias("object_id"), F.coalesce(p["parent_id"], oid).alias("parent_id"), p["body"].alias("body"))),
+                ).cast(PLACE),
+            )
 
-def _native_list(df: DataFrame, source: Column, of: T.StructType, child: str | None) -> Column:
-    """array<struct<fields map, present boolean, inner array<struct<fields, present>>>> of a typed list."""
+        return _let(body(e), with_body)
 
-    def one(e: Column) -> Column:
-        inner = F.lit(None).cast(f"array<struct<fields:{_MAP},present:boolean>>")
-        present = F.lit(False)
-        for f in of.fields:
-            present = present | e[f.name].isNotNull()
-        if child and child in of.names:
-            kind = of[child].dataType.elementType
-            some = lambda x: reduce(lambda a, n: a | x[n].isNotNull(), kind.names, F.lit(False))
-            inner = F.transform(e[child], lambda x: F.struct(_native_map(x, kind, None).alias("fields"), F.coalesce(some(x), F.lit(False)).alias("present")))
-        return F.struct(_native_map(e, of, child).alias("fields"), F.coalesce(present, F.lit(False)).alias("present"), inner.alias("inner"))
+    def one(e: Column, i: Column) -> Column:
+        if not tree:
+            found = own(None, e, i)
+        else:
+            lists = [F.coalesce(inner(e, name), F.array().cast(PLACE)) for name in tree]
+            found = _let(F.concat(*lists), lambda below: own(below, e, i))
+        return F.when(present(e), found).otherwise(F.array().cast(PLACE))
 
-    return F.transform(source, one)
+    return F.flatten(F.transform(elements, one))
 
 
-def _json_list(text: Column, child: str | None) -> Column:
-    """The same shape from JSON text."""
-    real = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
+def _native(elements: Column, kind: T.StructType, path: str) -> Column:
+    """Places of a typed list."""
+    tree = tree_of(kind)
+    fields = {f.name: f.dataType for f in kind.fields}
+    text = lambda e, n: e[n].cast("string") if isinstance(fields[n], T.AtomicType) else F.to_json(e[n])
+    plain = sorted(n for n in fields if n not in tree)
+    body = lambda e: F.to_json(F.struct(*[text(e, n).alias(n) for n in plain])) if plain else F.lit("{}")
+    some = lambda e: reduce(lambda a, n: a | e[n].isNotNull(), fields, F.lit(False))
+    return _places(elements, path, tree, lambda e: F.coalesce(some(e), F.lit(False)), body, lambda e, n: _native(e[n], kind[n].dataType.elementType, f"{path}.{n}"), _native)
 
-    def leaf(e: Column) -> Column:
-        m = real(F.from_json(e, _MAP))
-        return F.struct(m.alias("fields"), F.coalesce(F.size(m) > 0, F.lit(False)).alias("present"))
 
-    def one(e: Column) -> Column:
-        m = real(F.from_json(e, _MAP))
-        inner = F.transform(_elements(F.try_element_at(m, F.lit(child))), leaf) if child else F.lit(None).cast(f"array<struct<fields:{_MAP},present:boolean>>")
-        own = F.map_filter(m, lambda k, _: k != child) if child else m
-        return F.struct(own.alias("fields"), F.coalesce(F.size(m) > 0, F.lit(False)).alias("present"), inner.alias("inner"))
+def _whole(text: Column) -> Column:
+    """The one JSON value that a text holds, NULL if it holds anything else.
 
-    return F.transform(_elements(text), one)
+    The parser passes over what follows a value, so the text is set between a list and a
+    last field that only this text's own digest names: both must be there.
+    """
+    mark = F.md5(text)
+    parsed = F.try_parse_json(F.concat(F.lit('{"x":['), text, F.lit('],"'), mark, F.lit('":0}')))
+    return _let(F.try_variant_get(parsed, "$", "map<string,variant>"), lambda m: _let(F.try_variant_get(m["x"], "$", "array<variant>"), lambda x: F.when((F.size(m) == 2) & m[mark].isNotNull() & (F.size(x) == 1), F.get(x, F.lit(0)))))
 
 
-def native_lists(df: DataFrame, feed: str, id_col: str) -> DataFrame:
-    """feed, record_id, level, list of a typed table."""
-    parts = []
-    for level in LEVELS[feed]:
-        kind = df.schema[level.field].dataType.elementType
-        parts.append(
-            df.where(F.col(id_col).isNotNull()).select(
-                F.lit(feed).alias("feed"), F.col(id_col).cast("string").alias("record_id"), F.lit(level.field).alias("level"),
-                F.lit(level.child).cast("string").alias("child"), _native_list(df, F.col(level.field), kind, level.child).alias("list"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+def _variant_list(value: Column) -> Column:
+    """Elements of a list that may be a lone object, or JSON text of either inside a string."""
+    direct = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.array(v)))
+    return F.coalesce(direct(value), direct(_whole(F.try_variant_get(value, "$", "string"))))
+
+
+def _raw(elements: Column, tree: Tree, path: str) -> Column:
+    """Places of a list of JSON values."""
+    fields = lambda e: F.map_filter(F.try_variant_get(e, "$", "map<string,string>"), lambda _, v: v.isNotNull())
+    # An object's fields come in name order.
+    body = lambda e: F.to_json(F.map_filter(fields(e), lambda k, _: ~k.isin(list(tree)))) if tree else F.to_json(fields(e))
+    return _places(elements, path, tree, lambda e: F.coalesce(F.size(fields(e)) > 0, F.lit(False)), body, lambda e, n: _raw(_variant_list(F.try_variant_get(e, f"$.{n}", "variant")), tree[n], f"{path}.{n}"), _raw)
+
+
+def native_occurrences(df: DataFrame, feed: str, id_col: str) -> DataFrame:
+    """feed, record_id, path, ordinals, object_id, parent_id, body of every object in a typed table's nested lists, in one scan."""
+    lists = [F.coalesce(_native(F.col(n), df.schema[n].dataType.elementType, n), F.array().cast(PLACE)) for n in tree_of(df.schema)]
+    rows = df.where(F.col(id_col).isNotNull()).select(F.lit(feed).alias("feed"), F.col(id_col).cast("string").alias("record_id"), F.explode(F.concat(*lists)).alias("p"))
+    return rows.select("feed", "record_id", "p.*")
 
 
-def raw_lists(df: DataFrame) -> DataFrame:
+def raw_occurrences(df: DataFrame, trees: dict[str, Tree]) -> DataFrame:
     """The same of JSON payloads; ``feed`` of the table says which lists a payload has."""
-    sound = df.where(F.col("raw_id").isNotNull()).withColumn("_v", F.try_parse_json("payload")).where(F.col("payload").rlike(r"^\s*\{") & _sound(F.col("payload")))
-    parts = []
-    for feed, levels in LEVELS.items():
-        own = sound.where(F.lower(F.trim("feed")) == feed)
-        for level in levels:
-            text = F.try_variant_get("_v", f"$.{level.field}", "string")
-            parts.append(
-                own.select(
-                    F.lit("raw_feed").alias("feed"), F.col("raw_id").cast("string").alias("record_id"), F.lit(level.field).alias("level"),
-                    F.lit(level.child).cast("string").alias("child"), _json_list(text, level.child).alias("list"),
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _identity(kind: Column, fields: Column, inner: Column | None = None) -> Column:
-    """Hash of a canonical body: fields in key order, then places and identities of nested objects."""
-    body = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
-    parts = [kind, F.coalesce(body, F.lit("{}"))]
-    if inner is not None:
-        parts.append(F.coalesce(F.to_json(inner), F.lit("[]")))
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
-
-
-def occurrences(lists: DataFrame) -> DataFrame:
-    """Every place of every object: feed, record_id, path, pos, sub_pos, object_id, parent_id, fields."""
-    own = F.col("child")
-    inner_ids = F.filter(
-        F.transform(
-            F.col("e.inner"),
-            lambda x, i: F.struct((i + 1).cast("long").alias("sub_pos"), x["present"].alias("present"), x["fields"].alias("fields"), _identity(own, x["fields"]).alias("object_id")),
-        ),
-        lambda x: x["present"],
-    )
-    outer = lists.select("feed", "record_id", "level", "child", F.posexplode("list").alias("pos", "e")).where(F.col("e.present"))
-    outer = outer.withColumn("kids", inner_ids)
-    links = F.transform(F.col("kids"), lambda k: F.struct(k["sub_pos"], k["object_id"]))
-    outer = outer.withColumn("object_id", _identity(F.col("level"), F.col("e.fields"), links))
-    # One pass: an object and the objects in it leave as one list of places.
-    place = lambda path, sub, oid, parent, fields: F.struct(path.alias("path"), sub.alias("sub_pos"), oid.alias("object_id"), parent.alias("parent_id"), fields.alias("fields"))
-    top = place(F.col("level"), F.lit(0).cast("long"), F.col("object_id"), F.lit(None).cast("string"), F.col("e.fields"))
-    subs = F.transform("kids", lambda k: place(F.concat_ws(".", "level", "child"), k["sub_pos"], k["object_id"], F.col("object_id"), k["fields"]))
-    every = F.when(own.isNotNull() & F.col("kids").isNotNull(), F.concat(F.array(top), subs)).otherwise(F.array(top))
-    out = outer.select("feed", "record_id", (F.col("pos") + 1).cast("long").alias("pos"), F.explode(every).alias("x"))
-    return out.select("feed", "record_id", "x.path", "pos", "x.sub_pos", "x.object_id", "x.parent_id", "x.fields")
+    rows = df.where(F.col("raw_id").isNotNull() & F.col("payload").rlike(r"^\s*\{")).withColumn("_v", _whole(F.col("payload")))
+
+    def places(tree: Tree) -> Column:
+        return F.concat(*[F.coalesce(_raw(_variant_list(F.try_variant_get(F.col("_v"), f"$.{n}", "variant")), inner, n), F.array().cast(PLACE)) for n, inner in tree.items()])
+
+    feed = F.lower(F.trim("feed"))
+    of = reduce(lambda acc, kv: acc.when(feed == kv[0], places(kv[1])), list(trees.items())[1:], F.when(feed == next(iter(trees)), places(next(iter(trees.values())))))
+    return rows.select(F.lit("raw_feed").alias("feed"), F.col("raw_id").cast("string").alias("record_id"), F.explode(of).alias("p")).select("feed", "record_id", "p.*")
 
 
 def all_occurrences(ndc: DataFrame, drugsfda: DataFrame, raw_feed: DataFrame) -> DataFrame:
-    return occurrences(native_lists(ndc, "ndc", "product_id").unionByName(native_lists(drugsfda, "drugsfda", "application_number")).unionByName(raw_lists(raw_feed)))
+    """Every place of every object: feed, record_id, path, ordinals, object_id, parent_id, body."""
+    tables = {"ndc": ndc, "drugsfda": drugsfda}
+    native = [native_occurrences(df, feed, KEYS[feed]) for feed, df in tables.items()]
+    return reduce(DataFrame.unionByName, [*native, raw_occurrences(raw_feed, {feed: tree_of(df.schema) for feed, df in tables.items()})])
 
 
 def objects(occ: DataFrame) -> DataFrame:
-    """Each distinct object once, with the number of places where it stands."""
-    places = occ.select("feed", "record_id", "path", "pos", "sub_pos", "object_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("body")).distinct()
-    return places.groupBy("object_id").agg(F.min("path").alias("path"), F.min("body").alias("body"), F.count(F.lit(1)).alias("places"))
+    """Each distinct object once: object_id, path, body of its scalar fields, and the number of places where it stands.
+
+    Body and path follow from the identity, so as grouping keys they combine on the map side.
+    """
+    places = bridge(occ, "body")
+    return places.groupBy("object_id", "path", "body").agg(F.count(F.lit(1)).alias("places"))
+
+
+def bridge(occ: DataFrame, *more: str) -> DataFrame:
+    """Rows from parent to child: the record, path and ordinals of a place, the object in it and the object around it (NULL: the record)."""
+    return occ.select("feed", "record_id", "path", "ordinals", "parent_id", "object_id", *more).distinct()
 
 
-def bridge(occ: DataFrame) -> DataFrame:
-    """Rows from parent to child: a record's key for outer objects, the outer object's id for nested ones."""
-    parent = F.coalesce(F.col("parent_id"), F.concat_ws(":", "feed", "record_id"))
-    ordinal = F.when(F.col("parent_id").isNull(), F.col("pos")).otherwise(F.col("sub_pos"))
-    return occ.select(parent.alias("parent_id"), "path", ordinal.alias("ordinal"), F.col("object_id").alias("child_id")).distinct()
+def flat(links: DataFrame, stored: DataFrame) -> DataFrame:
+    """The flat tables: one row a place, with the stored object it points to; ``stored`` holds each object once."""
+    pos = [F.get("ordinals", F.lit(0)).cast("bigint").alias("pos"), F.coalesce(F.get("ordinals", F.lit(1)), F.lit(0)).cast("bigint").alias("sub_pos")]
+    return links.join(stored.select("object_id", "body"), "object_id").select("feed", "record_id", "path", "ordinals", *pos, "parent_id", "object_id", "body")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from apothecary.functions import names as N
 from apothecary.functions.instants import SOURCE_ZONES, parse_instant
 from apothecary.operators import nested, snapshots
+from apothecary.session import materialise
 from apothecary.sources.tables import table
 
 
@@ -41,22 +42,35 @@ def p4_formats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    return nested.all_occurrences(table(spark, d, "ndc"), table(spark, d, "drugsfda"), table(spark, d, "raw_feed"))
+    """Every place of every object, written once: objects and bridge both come from it."""
+    return materialise(nested.all_occurrences(table(spark, d, "ndc"), table(spark, d, "drugsfda"), table(spark, d, "raw_feed")), "nested-places")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _nested(spark, d).select("feed", "record_id", "path", "pos", "sub_pos").distinct()
+    return p7_flat(spark, d).select("feed", "record_id", "path", "pos", "sub_pos").distinct()
+
+
+def p7_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables put together from bridge and objects; ordinals and identities as text."""
+    places = _nested(spark, d)
+    return _shown(nested.flat(nested.bridge(places), nested.objects(places)).drop("ordinals"))
 
 
 def p7_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(_nested(spark, d))
+    return _shown(nested.objects(_nested(spark, d)))
 
 
 def p7_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.bridge(_nested(spark, d))
+    links = nested.bridge(_nested(spark, d))
+    return _shown(links.withColumn("ordinals", F.array_join("ordinals", ".")))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Identities in hexadecimal digits."""
+    return df.withColumns({c: F.lower(F.hex(c)) for c, kind in df.dtypes if kind == "binary"})
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_field_changes, p4_found, p4_formats, p7_found, p7_objects, p7_bridge)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_field_changes, p4_found, p4_formats, p7_found, p7_flat, p7_objects, p7_bridge)}
 
 _OBJECT = "json_type(e) = 'OBJECT' and len(list_filter(json_extract(e, '$.*'), lambda x: json_type(x) <> 'NULL')) > 0"
 
@@ -70,18 +84,33 @@ def _field(of: str, name: str) -> str:
     return f"case when json_type(json_extract({of}, '$.{name}')) = 'VARCHAR' then json_extract_string({of}, '$.{name}') else json_extract({of}, '$.{name}')::varchar end"
 
 
-def _nested_sql() -> str:
+def _body(skip: str) -> str:
+    """Scalar fields of the object ``e`` as text in name order, as JSON."""
+    kept = f"list_filter(list_sort(json_keys(e)), lambda k: json_type(json_extract(e, '$.' || k)) <> 'NULL' and k <> {skip})"
+    return f"'{{' || coalesce(array_to_string(list_transform({kept}, lambda k: to_json(k)::varchar || ':' || to_json(json_extract_string(e, '$.' || k))::varchar), ','), '') || '}}'"
+
+
+#: The nested lists of both feeds and the list nested in each, for the SQL.
+_LISTS = {"ndc": ("product_id", {"active_ingredients": "", "packaging": ""}), "drugsfda": ("application_number", {"products": "active_ingredients", "submissions": "application_docs"})}
+
+
+def _nested_sql(show: str) -> str:
     parts = []
-    for feed, key, levels in (("ndc", "product_id", nested.LEVELS["ndc"]), ("drugsfda", "application_number", nested.LEVELS["drugsfda"])):
-        for lv in levels:
-            parts.append(f"select '{feed}' as feed, {key} as record_id, '{lv.field}' as path, '{lv.child or ''}' as child, to_json({lv.field})::varchar as t from {feed} where {key} is not null and {lv.field} is not null")
-            parts.append(f"select 'raw_feed', raw_id::varchar, '{lv.field}', '{lv.child or ''}', {_field('payload::json', lv.field)} from sound where feed = '{feed}'")
+    for feed, (key, lists) in _LISTS.items():
+        for field, child in lists.items():
+            parts.append(f"select '{feed}' as feed, {key} as record_id, '{field}' as path, '{child}' as child, to_json({field})::varchar as t from {feed} where {key} is not null and {field} is not null")
+            parts.append(f"select 'raw_feed', raw_id::varchar, '{field}', '{child}', {_field('payload::json', field)} from sound where feed = '{feed}'")
     return f"""with sound as (select raw_id, feed, payload from raw_feed where coalesce(json_valid(payload), false) and json_type(case when json_valid(payload) then payload::json end) = 'OBJECT'),
-lists as ({' union all '.join(parts)}), outer_items as (select feed, record_id, path, child, pos, l[pos] as e from (select *, unnest(range(1, len(l) + 1)) as pos from (select *, {_items('t')} as l from lists))),
-kept as (select * from outer_items where {_OBJECT}),
-inner_items as (select feed, record_id, path || '.' || child as path, pos, sub_pos, l[sub_pos] as e from (select *, unnest(range(1, len(l) + 1)) as sub_pos from (select *, {_items('c')} as l from
-  (select *, case when json_type(json_extract(e, '$.' || child)) = 'VARCHAR' then json_extract_string(e, '$.' || child) else json_extract(e, '$.' || child)::varchar end as c from kept where child <> ''))))
-select distinct feed, record_id, path, pos, 0::bigint as sub_pos from kept union select distinct feed, record_id, path, pos, sub_pos from inner_items where {_OBJECT}"""
+lists as ({' union '.join(parts)}), outer_items as (select feed, record_id, path, child, pos, l[pos] as e from (select *, unnest(range(1, len(l) + 1)) as pos from (select *, {_items('t')} as l from lists))),
+kept as (select row_number() over () as n, * from outer_items where {_OBJECT}),
+inner_items as (select n, feed, record_id, path || '.' || child as path, pos, sub_pos, l[sub_pos] as e from (select *, unnest(range(1, len(l) + 1)) as sub_pos from (select *, {_items('c')} as l from
+  (select *, case when json_type(json_extract(e, '$.' || child)) = 'VARCHAR' then json_extract_string(e, '$.' || child) else json_extract(e, '$.' || child)::varchar end as c from kept where child <> '')))),
+small as (select *, sha256(path || chr(31) || body || chr(31)) as id from (select *, {_body("''")} as body from inner_items where {_OBJECT})),
+refs as (select n, string_agg(path || ':' || sub_pos || ':' || id, '|' order by sub_pos) as refs from small group by n),
+large as (select *, sha256(path || chr(31) || body || chr(31) || coalesce(refs, '')) as id from (select k.*, refs, {_body('child')} as body from kept k left join refs using (n))),
+places as (select distinct feed, record_id, path, pos, 0::bigint as sub_pos, pos::varchar as ordinals, null as parent_id, id as object_id, body from large
+  union select s.feed, s.record_id, s.path, s.pos, s.sub_pos, s.pos || '.' || s.sub_pos, l.id, s.id, s.body from small s join large l using (n))
+{show}"""
 
 
 _CHANGES = f"""with rows as (select 'recalls' as feed, snapshot, nullif(upper({N.sql_strip('recall_number')}), '') as k, ingested_at, row_id, lower({N.sql_strip('status')}) as a, lower({N.sql_strip('classification')}) as b from recalls
@@ -101,4 +130,10 @@ pairs as (select n.feed, n.snapshot, n.k, o.a as oa, n.a as na, o.b as ob, n.b a
 select feed, snapshot, k as record_key, 'status' as field, oa as old_value, na as new_value from pairs where lower({N.sql_strip('oa')}) is distinct from lower({N.sql_strip('na')})
 union all select feed, snapshot, k, case when feed = 'recalls' then 'classification' else 'availability' end, ob, nb from pairs where lower({N.sql_strip('ob')}) is distinct from lower({N.sql_strip('nb')})"""
 
-SQL: dict[str, str] = {"p2_field_changes": _FIELD_CHANGES, "p2_found": _CHANGES, "p7_found": _nested_sql()}
+SQL: dict[str, str] = {
+    "p2_field_changes": _FIELD_CHANGES, "p2_found": _CHANGES, 
+    "p7_found": _nested_sql("select distinct feed, record_id, path, pos, sub_pos from places"),
+    "p7_flat": _nested_sql("select feed, record_id, path, pos, sub_pos, parent_id, object_id, body from places"),
+    "p7_bridge": _nested_sql("select feed, record_id, path, ordinals, parent_id, object_id from places"),
+    "p7_objects": _nested_sql("select object_id, path, body, count(*) as places from places group by all"),
+}

@@ -16,7 +16,8 @@ def frames(spark, ndc=(), fda=(), raw=()):
 
 
 def places(occ):
-    return {tuple(r) for r in occ.select("record_id", "path", "pos", "sub_pos").distinct().collect()}
+    rows = nested.flat(nested.bridge(occ), nested.objects(occ))
+    return {tuple(r) for r in rows.select("record_id", "path", "pos", "sub_pos").distinct().collect()}
 
 
 def test_native(spark):
@@ -33,10 +34,10 @@ def test_raw(spark):
     raw = [
         ("ndc", {"active_ingredients": {"name": "A"}, "packaging": '[{"package_ndc": "x"}, null, {}, {"sample": false}]'}),
         ("drugsfda", {"products": {"product_number": "1", "active_ingredients": '{"name": "B"}'}, "submissions": None}),
-        ("ndc", '{"packaging": [{"package_ndc": "x"}'), ("ndc", "[]"), ("ndc", ""), ("ndc", None), ("ndc", "null"), ("ndc", '{"packaging": [{"package_ndc": "x"}]} trailing'), ("ndc", {"packaging": "no list", "active_ingredients": ["text", 5, {"name": "C"}]}), ("ndc", ' \n {"packaging": []}'),
+        ("ndc", '{"packaging": [{"package_ndc": "x"}'), ("ndc", '{"packaging": [{"package_ndc": "x"}]}], "y": [{"a": 1}'), ("ndc", '{"packaging": [{"package_ndc": "x"}]}, {"a": 1}'), ("ndc", "[]"), ("ndc", ""), ("ndc", None), ("ndc", "null"), ("ndc", '{"packaging": [{"package_ndc": "x"}]} trailing'), ("ndc", {"packaging": "no list", "active_ingredients": ["text", 5, {"name": "C"}]}), ("ndc", ' \n {"packaging": []}'),
     ]
     got = places(nested.all_occurrences(*frames(spark, raw=raw)))
-    assert got == {("1", "active_ingredients", 1, 0), ("1", "packaging", 1, 0), ("1", "packaging", 4, 0), ("2", "products", 1, 0), ("2", "products.active_ingredients", 1, 1), ("9", "active_ingredients", 3, 0)}
+    assert got == {("1", "active_ingredients", 1, 0), ("1", "packaging", 1, 0), ("1", "packaging", 4, 0), ("2", "products", 1, 0), ("2", "products.active_ingredients", 1, 1), ("11", "active_ingredients", 3, 0)}
 
 
 def test_equal_subtrees_are_stored_once(spark):
@@ -50,19 +51,34 @@ def test_equal_subtrees_are_stored_once(spark):
 def test_records_can_be_rebuilt(spark):
     fda = [("n1", [("001", "b", [("A", "1"), None, ("B", "2")]), ("002", None, None)], None), ("n2", [("001", "b", [("A", "1"), None, ("B", "2")])], None)]
     occ = nested.all_occurrences(*frames(spark, fda=fda)).cache()
-    bodies = {r["object_id"]: json.loads(r["body"]) for r in nested.objects(occ).collect()}
+    bodies = {bytes(r["object_id"]): json.loads(r["body"]) for r in nested.objects(occ).collect()}
     links = {}
     for r in nested.bridge(occ).collect():
-        links.setdefault(r["parent_id"], {})[r["ordinal"]] = r["child_id"]
+        parent = f"{r['feed']}:{r['record_id']}" if r["parent_id"] is None else bytes(r["parent_id"])
+        links.setdefault(parent, {})[r["ordinals"][-1]] = bytes(r["object_id"])
     for name, products, _ in fda:
         for pos, oid in links[f"drugsfda:{name}"].items():
             number, brand, inner = products[pos - 1]
             assert bodies[oid] == {k: v for k, v in (("product_number", number), ("brand_name", brand)) if v is not None}
             assert {p: (bodies[c]["name"], bodies[c]["strength"]) for p, c in links.get(oid, {}).items()} == {i + 1: x for i, x in enumerate(inner or []) if x}
-    shared = [v[1] for k, v in links.items() if k.startswith("drugsfda:")]
+    shared = [v[1] for k, v in links.items() if isinstance(k, str)]
     assert shared[0] == shared[1]
 
 
+def test_any_depth(spark):
+    deep = "a array<struct<x:int,tags:array<string>,b:array<struct<y:string,c:array<struct<z:boolean>>>>>>"
+    rows = [("r1", [(1, ["t"], [None, ("p", [(None,), (True,)])])]), ("r2", [(None, None, None), (2, None, [("p", [(None,), (True,)])])])]
+    occ = nested.native_occurrences(spark.createDataFrame(rows, f"id string, {deep}"), "deep", "id")
+    got = {(r["record_id"], r["path"], tuple(r["ordinals"])) for r in occ.collect()}
+    assert got == {("r1", "a", (1,)), ("r1", "a.b", (1, 2)), ("r1", "a.b.c", (1, 2, 2)), ("r2", "a", (2,)), ("r2", "a.b", (2, 1)), ("r2", "a.b.c", (2, 1, 2))}
+    ids = {(r["record_id"], r["path"]): bytes(r["object_id"]) for r in occ.collect()}
+    assert ids["r1", "a.b"] == ids["r2", "a.b"] and ids["r1", "a"] != ids["r2", "a"]
+    parents = {(r["record_id"], r["path"]): r["parent_id"] and bytes(r["parent_id"]) for r in occ.collect()}
+    assert parents["r1", "a.b.c"] == ids["r1", "a.b"] and parents["r1", "a.b"] == ids["r1", "a"] and parents["r1", "a"] is None
+    body = next(r["body"] for r in nested.objects(occ).collect() if r["path"] == "a" and "1" in r["body"])
+    assert json.loads(body) == {"x": "1", "tags": '["t"]'}
+
+
 def test_empty(spark):
     occ = nested.all_occurrences(*frames(spark))
     assert occ.count() == nested.objects(occ).count() == nested.bridge(occ.withColumn("clash", F.lit(1))).count() == 0
