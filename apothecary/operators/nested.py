@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 #: Nested lists by name, each with the lists nested in it.
 Tree = dict[str, "Tree"]
 KEYS = {"ndc": "product_id", "drugsfda": "application_number"}
+#: Bytes of SHA-256 that make an identity: two objects among 2 ** 40 share one by chance once in 2 ** 49 such corpora.
+ID_BYTES = 16
 PLACE = "array<struct<path:string,ordinals:array<int>,object_id:binary,parent_id:binary,body:string>>"
 
 
@@ -58,7 +60,7 @@ def _places(elements: Column, path: str, tree: Tree, present: Callable[[Column],
 
         def with_body(text: Column) -> Column:
             return _let(
-                F.unhex(F.sha2(F.concat_ws("\x1f", F.lit(path), text, F.array_join(refs, "|")), 256)),
+                F.substring(F.unhex(F.sha2(F.concat_ws("\x1f", F.lit(path), text, F.array_join(refs, "|")), 256)), 1, ID_BYTES),
                 lambda oid: F.concat(
                     F.array(F.struct(F.lit(path).alias("path"), at.alias("ordinals"), oid.alias("object_id"), F.lit(None).cast("binary").alias("parent_id"), text.alias("body"))),
                     F.array().cast(PLACE) if below is None else F.transform(below, lambda p: F.struct(p["path"].alias("path"), F.concat(at, p["ordinals"]).alias("ordinals"), p["object_id"].alias("object_id"), F.coalesce(p["parent_id"], oid).alias("parent_id"), p["body"].alias("body"))),
@@ -143,10 +145,15 @@ def all_occurrences(ndc: DataFrame, drugsfda: DataFrame, raw_feed: DataFrame) ->
 def objects(occ: DataFrame) -> DataFrame:
     """Each distinct object once: object_id, path, body of its scalar fields, and the number of places where it stands.
 
-    Body and path follow from the identity, so as grouping keys they combine on the map side.
+    Body and path follow from the identity, so any place tells them; a reader of identities only
+    pays for neither.
     """
-    places = bridge(occ, "body")
-    return places.groupBy("object_id", "path", "body").agg(F.count(F.lit(1)).alias("places"))
+    return bridge(occ, "body").groupBy("object_id").agg(F.any_value("path").alias("path"), F.any_value("body").alias("body"), F.count(F.lit(1)).alias("places"))
+
+
+def identities(occ: DataFrame) -> DataFrame:
+    """The identities under which objects are stored, each once."""
+    return occ.select("object_id").distinct()
 
 
 def bridge(occ: DataFrame, *more: str) -> DataFrame:
@@ -154,7 +161,15 @@ def bridge(occ: DataFrame, *more: str) -> DataFrame:
     return occ.select("feed", "record_id", "path", "ordinals", "parent_id", "object_id", *more).distinct()
 
 
+def places(links: DataFrame, stored: DataFrame) -> DataFrame:
+    """feed, record_id, path, pos, sub_pos of the bridge rows whose object is stored, each once."""
+    return links.join(stored, "object_id", "left_semi").select("feed", "record_id", "path", *_position()).distinct()
+
+
+def _position() -> list[Column]:
+    return [F.get("ordinals", F.lit(0)).cast("bigint").alias("pos"), F.coalesce(F.get("ordinals", F.lit(1)), F.lit(0)).cast("bigint").alias("sub_pos")]
+
+
 def flat(links: DataFrame, stored: DataFrame) -> DataFrame:
     """The flat tables: one row a place, with the stored object it points to; ``stored`` holds each object once."""
-    pos = [F.get("ordinals", F.lit(0)).cast("bigint").alias("pos"), F.coalesce(F.get("ordinals", F.lit(1)), F.lit(0)).cast("bigint").alias("sub_pos")]
-    return links.join(stored.select("object_id", "body"), "object_id").select("feed", "record_id", "path", "ordinals", *pos, "parent_id", "object_id", "body")
+    return links.join(stored.select("object_id", "body"), "object_id").select("feed", "record_id", "path", "ordinals", *_position(), "parent_id", "object_id", "body")

@@ -41,13 +41,15 @@ def p4_formats(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("feed", F.col("instant_format").alias("format"), "instant_case").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _nested(spark: SparkSession, d: str) -> DataFrame:
+def _nested(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Every place of every object, written once: objects and bridge both come from it."""
-    return materialise(nested.all_occurrences(table(spark, d, "ndc"), table(spark, d, "drugsfda"), table(spark, d, "raw_feed")), "nested-places")
+    every = nested.all_occurrences(table(spark, d, "ndc"), table(spark, d, "drugsfda"), table(spark, d, "raw_feed"))
+    return materialise(every.select(*columns or ["*"]), "nested-places")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_flat(spark, d).select("feed", "record_id", "path", "pos", "sub_pos").distinct()
+    links = _nested(spark, d, "feed", "record_id", "path", "ordinals", "object_id")
+    return nested.places(links, nested.identities(links))
 
 
 def p7_flat(spark: SparkSession, d: str) -> DataFrame:
@@ -105,9 +107,9 @@ lists as ({' union '.join(parts)}), outer_items as (select feed, record_id, path
 kept as (select row_number() over () as n, * from outer_items where {_OBJECT}),
 inner_items as (select n, feed, record_id, path || '.' || child as path, pos, sub_pos, l[sub_pos] as e from (select *, unnest(range(1, len(l) + 1)) as sub_pos from (select *, {_items('c')} as l from
   (select *, case when json_type(json_extract(e, '$.' || child)) = 'VARCHAR' then json_extract_string(e, '$.' || child) else json_extract(e, '$.' || child)::varchar end as c from kept where child <> '')))),
-small as (select *, sha256(path || chr(31) || body || chr(31)) as id from (select *, {_body("''")} as body from inner_items where {_OBJECT})),
+small as (select *, substr(sha256(path || chr(31) || body || chr(31)), 1, 32) as id from (select *, {_body("''")} as body from inner_items where {_OBJECT})),
 refs as (select n, string_agg(path || ':' || sub_pos || ':' || id, '|' order by sub_pos) as refs from small group by n),
-large as (select *, sha256(path || chr(31) || body || chr(31) || coalesce(refs, '')) as id from (select k.*, refs, {_body('child')} as body from kept k left join refs using (n))),
+large as (select *, substr(sha256(path || chr(31) || body || chr(31) || coalesce(refs, '')), 1, 32) as id from (select k.*, refs, {_body('child')} as body from kept k left join refs using (n))),
 places as (select distinct feed, record_id, path, pos, 0::bigint as sub_pos, pos::varchar as ordinals, null as parent_id, id as object_id, body from large
   union select s.feed, s.record_id, s.path, s.pos, s.sub_pos, s.pos || '.' || s.sub_pos, l.id, s.id, s.body from small s join large l using (n))
 {show}"""

@@ -17,7 +17,9 @@ def frames(spark, ndc=(), fda=(), raw=()):
 
 def places(occ):
     rows = nested.flat(nested.bridge(occ), nested.objects(occ))
-    return {tuple(r) for r in rows.select("record_id", "path", "pos", "sub_pos").distinct().collect()}
+    found = {tuple(r) for r in rows.select("record_id", "path", "pos", "sub_pos").distinct().collect()}
+    assert found == {tuple(r)[1:] for r in nested.places(occ, nested.identities(occ)).collect()}
+    return found
 
 
 def test_native(spark):
