@@ -1,18 +1,22 @@
 """Language of documents and of their stretches, by compression.
 
 Each language has a zstandard raw-content dictionary of sample sentences. A sentence
-belongs to the language whose dictionary packs it smallest. Over a text the cheapest
-sequence of languages is chosen, where a change of language costs a fixed number of
-bytes; a sentence with a narrow margin, or of codes and names only, joins its neighbours.
+belongs to the language whose dictionary packs it smallest; neighbouring sentences of a
+few words are packed together. Over a text the cheapest sequence of languages is chosen,
+where a change of language costs a fixed number of bytes; a sentence with a narrow margin
+decides nothing and joins its neighbours. Where all margins are narrow the sentences
+decide together, and the text is rejected if even their sum is narrow.
 
 The dictionaries are fitted on a bounded sample of labelled documents
 (``SAMPLE_DOCS`` a language, chosen by hash); labels may be wrong, so sentences that
 word counts assign to another language are first left out of the sample. All
-documents are then classified, whole.
+dictionaries are cut to the length of the shortest (8,000 bytes at least), so that none
+packs better by size alone. All documents are then classified, whole.
 
-Defined cases: NULL, blank and code-only texts give no rows; a text of narrow margins
-throughout takes the language of its smallest total; a label no spelling of a language
-counts as missing; without any labelled documents there are no rows.
+Defined cases: NULL, blank and code-only texts give no rows; a rejected text has one
+stretch with a NULL language; a label no spelling of a language counts as missing;
+documents without id are left out of the sample; without any labelled documents there
+are no rows.
 """
 
 from __future__ import annotations
@@ -79,6 +83,27 @@ def telling(sentence: str) -> bool:
     return n_words(sentence) >= LEAST_WORDS
 
 
+def units(text: str) -> list[str]:
+    """What is packed at a time: each sentence of ``LEAST_WORDS``, and each run of shorter ones with as many together.
+
+    Shorter runs between longer sentences decide nothing. A text without any longer
+    sentence is one unit, if it is more than codes.
+    """
+    out, run = [], []
+    parts = sentences(text)
+    for s in [*parts, None]:
+        if s is not None and not telling(s):
+            run.append(s)
+            continue
+        if run and telling(" ".join(run)):
+            out.append(" ".join(run))
+        run = []
+        if s is not None:
+            out.append(s)
+    whole = " ".join(parts)
+    return out or ([whole] if n_words(whole) >= LEAST_TEXT else [])
+
+
 def fit(sample: list[tuple[str, str]]) -> dict[str, bytes]:
     """Raw dictionary content a language from (language, text) pairs with some wrong labels."""
     seen: dict[str, Counter] = {}
@@ -132,18 +157,18 @@ class Classifier:
         raw = sentence.encode()
         return [len(p.compress(raw)) for p in self.packers]
 
-    def stretches(self, text: str) -> list[tuple[str, float]]:
-        """(language, confidence) of each maximal stretch."""
-        parts = sentences(text)
-        costs = [self.sizes(s) for s in parts if telling(s)]
+    def stretches(self, text: str) -> list[tuple[str | None, float]]:
+        """(language, confidence) of each maximal stretch; the language is None where margins are too narrow."""
+        costs = [self.sizes(s) for s in units(text)]
         if not costs:
-            # Short sentences only: together they may still be a text.
-            whole = " ".join(parts)
-            if n_words(whole) < LEAST_TEXT:
-                return []
-            costs = [self.sizes(whole)]
+            return []
         n = len(self.langs)
-        firm = [c for c in costs if sorted(c)[1] - min(c) >= MARGIN] or [[sum(c[k] for c in costs) for k in range(n)]]
+        margin = lambda c: sorted(c)[1] - min(c) if n > 1 else MARGIN
+        firm = [c for c in costs if margin(c) >= MARGIN]
+        if not firm:
+            firm = [[sum(c[k] for c in costs) for k in range(n)]]
+            if margin(firm[0]) < MARGIN:
+                return [(None, 0.5)]
         best, back = list(firm[0]), []
         for c in firm[1:]:
             low = min(range(n), key=lambda k: (best[k], k))
@@ -155,7 +180,7 @@ class Classifier:
         path.reverse()
         out: list[list] = []
         for k, c in zip(path, firm):
-            lead = min(x for i, x in enumerate(c) if i != k) - c[k]
+            lead = min((x for i, x in enumerate(c) if i != k), default=c[k] + MARGIN) - c[k]
             if out and out[-1][0] == k:
                 out[-1][1] += lead
             else:
@@ -165,18 +190,29 @@ class Classifier:
 
 
 def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most ``most`` labelled documents a language, by hash of their id: a bounded sample, not all rows."""
+    """At most ``most`` labelled documents a language, by hash of their id: a bounded sample, not all rows.
+
+    The documents of a language are counted first, so that a bound on the hash leaves about
+    three times as many as are wanted; only those are ranked.
+    """
     names = F.create_map(*[F.lit(x) for kv in _BY_NAME.items() for x in kv])
     head = F.lower(F.trim(F.translate(F.split(F.col("lang"), "[-_]")[0], "áàãâéêíóôõúçñÁÀÃÂÉÊÍÓÔÕÚÇÑ", "aaaaeeiooouncAAAAEEIOOOUCN")))
     head = F.regexp_replace(F.regexp_replace(head, "espa.ol", "espanol"), "fran.ais", "francais")
-    rows = docs.where(F.length("text").between(40, 20_000)).select(F.element_at(names, head).alias("code"), "text", F.xxhash64("doc_id").alias("at"))
+    rows = docs.where(F.length("text").between(40, 20_000) & F.col("doc_id").isNotNull()).select(F.element_at(names, head).alias("code"), "text", F.xxhash64("doc_id").alias("at")).where(F.col("code").isNotNull())
+    counts = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    top = {code: int(-(2**63) + min(1.0, 3 * most / n) * (2**64 - 1)) for code, n in counts.items()}
+    within = F.col("at") <= F.element_at(F.create_map(*[F.lit(x) for code, v in top.items() for x in (code, min(v, 2**63 - 1))]), F.col("code"))
     rank = F.row_number().over(Window.partitionBy("code").orderBy("at", "text"))
-    chosen = rows.where(F.col("code").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= most)
+    chosen = rows.where(within).withColumn("rank", rank).where(F.col("rank") <= most)
     return sorted((r["code"], r["text"]) for r in chosen.select("code", "text").collect())
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """doc_id, seg, lang, confidence, label of every stretch of every document."""
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], every: bool = True) -> DataFrame:
+    """doc_id, seg, lang, confidence, label of every stretch; without ``every`` only of documents whose
+    label is missing or wrong and of those in several languages. Each document is whole in one task, so
+    what is not wanted never leaves it."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +221,9 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             rows = []
             for doc, text, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 if model and text.is_valid:
-                    code = label_code(label)
-                    rows += [(doc, i, lang, sure, code) for i, (lang, sure) in enumerate(model.stretches(text.as_py()), 1)]
+                    code, found = label_code(label), model.stretches(text.as_py())
+                    if every or len(found) > 1 or (found and (code is None or found[0][0] != code)):
+                        rows += [(doc, i, lang, sure, code) for i, (lang, sure) in enumerate(found, 1)]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
             names = ["doc_id", "seg", "lang", "confidence", "label"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
@@ -195,11 +232,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 
 def find(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """Stretches of documents whose label is missing or wrong, and of all documents in several languages."""
+    """doc_id, seg, lang, confidence of the stretches of documents whose label is missing or wrong, and of
+    all documents in several languages; rejected texts have a NULL language."""
     model = balance(fit(training_sample(docs, most)))
-    rows = classify(docs, model)
-    wrong = (F.col("label").isNull()) | (F.col("label") != F.col("lang"))
-    # Each document's stretches come from one task, in order; the second stretch tells that there are several.
-    several = rows.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "lang", "confidence")).alias("s"), F.max(F.when(wrong, 1).otherwise(0)).alias("bad"))
-    kept = several.where((F.size("s") > 1) | (F.col("bad") == 1)).select("doc_id", F.explode("s").alias("s"))
-    return kept.select("doc_id", "s.seg", "s.lang", "s.confidence")
+    return classify(docs, model, every=False).select("doc_id", "seg", "lang", "confidence")

@@ -93,10 +93,11 @@ def p9_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _languages.find(_documents(spark, d, "lang")).select("doc_id", "seg", "lang")
+    return _languages.find(_documents(spark, d, "lang")).where(F.col("lang").isNotNull()).select("doc_id", "seg", "lang")
 
 
 def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The same with confidences, and rejected texts with a NULL language."""
     return _languages.find(_documents(spark, d, "lang"))
 
 

@@ -57,6 +57,24 @@ def test_mixed_and_odd_texts(spark):
     assert not [k for k in got if k < n]
 
 
+def test_runs_of_short_sentences(spark):
+    rng = random.Random(9)
+    rows = [(text(rng, la), la) for la in sorted(FORMS) for _ in range(25)]
+    n = len(rows)
+    rows += [(text(rng, "en", 2) + " La farmacia de aquí. Debe revisar el frasco. Avisar a la oficina. " + text(rng, "en", 2), "en"), (text(rng, "en", 2) + " El frasco. " + text(rng, "en", 1), "en")]
+    got = found(spark, rows)
+    assert {k - n: v for k, v in got.items() if k >= n} == {0: [(1, "en"), (2, "es"), (3, "en")]}
+    assert G.units("No. Ref. 12-A\n\nThis is a sentence of words. Do not. Use it now. Ok.") == ["this is a sentence of words.", "do not. use it now. ok."]
+    assert G.units("No. Ref.") == ["no. ref."] and G.units("12-A") == G.units("") == []
+
+
+def test_narrow_margins_are_rejected(spark):
+    rng = random.Random(2)
+    rows = [(text(rng, la), la) for la in sorted(FORMS) for _ in range(25)] + [("ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾᛁᛃ ᛇᛈᛉᛊᛏᛒ ᛖᛗᛚᛜᛞᛟ ᚠᚢᚦᚨᚱᚲᚷ ᚹᚺᚾᛁᛃ", None)]
+    (last,) = [r for r in G.find(docs(spark, rows)).collect() if r["doc_id"] == len(rows) - 1]
+    assert (last["seg"], last["lang"], last["confidence"]) == (1, None, 0.5)
+
+
 def test_empty(spark):
     assert found(spark, []) == {}
     assert found(spark, [("some text without any label at all here.", None)]) == {}
@@ -66,3 +84,4 @@ def test_sample_is_bounded(spark):
     rng = random.Random(1)
     rows = [(text(rng, "en"), "en") for _ in range(60)]
     assert len(G.training_sample(docs(spark, rows), 7)) == 7
+    assert len(G.training_sample(docs(spark, rows), 100)) == 60
