@@ -52,10 +52,10 @@ NAMES = {
 }
 _BY_NAME = {n: code for code, names in NAMES.items() for n in names}
 #: After closing punctuation, or at an empty line; other line ends may stand within a sentence.
-_BREAK = re.compile(r"(?<=[.!?…。])[\"'”’»)\]]*\s+|\s*\n\s*\n\s*|\s*\r\s*\r\s*")
+_BREAK = re.compile(r"([.!?…。])[\"'”’»)\]]*\s+|\n\s*\n\s*|\r\s*\r\s*")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _MARKS = re.compile(r"[\u0300-\u036f]+")
-_CODE = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 
 
 def fold(text: str) -> str:
@@ -69,18 +69,34 @@ def label_code(label: str | None) -> str | None:
     return _BY_NAME.get(head)
 
 
+def _plain(part: str) -> str:
+    """Words of a sentence that hold no digit."""
+    ws = part.split()
+    return " ".join([w for w in ws if not _DIGIT.search(w)] if _DIGIT.search(part) else ws)
+
+
 def sentences(text: str) -> list[str]:
     """Sentences of a text, folded, without words that hold digits."""
-    parts = (" ".join(_CODE.sub(" ", s).split()) for s in _BREAK.split(fold(text)) if s)
-    return [s for s in parts if s]
+    text, start, parts = fold(text), 0, []
+    for m in _BREAK.finditer(text):
+        parts.append(text[start : m.end(1) if m[1] else m.start()])
+        start = m.end()
+    return [s for p in [*parts, text[start:]] if (s := _plain(p))]
 
 
-def n_words(sentence: str) -> int:
-    return sum(1 for w in sentence.split() if _LETTERS.search(w))
+def n_words(sentence: str, enough: int = 1 << 30) -> int:
+    """Words with two letters in a row, counted up to ``enough``."""
+    n = 0
+    for w in sentence.split():
+        if w[:2].isalpha() and len(w) > 1 or _LETTERS.search(w):
+            n += 1
+            if n >= enough:
+                break
+    return n
 
 
 def telling(sentence: str) -> bool:
-    return n_words(sentence) >= LEAST_WORDS
+    return n_words(sentence, LEAST_WORDS) >= LEAST_WORDS
 
 
 def units(text: str) -> list[str]:
@@ -169,6 +185,10 @@ class Classifier:
             firm = [[sum(c[k] for c in costs) for k in range(n)]]
             if margin(firm[0]) < MARGIN:
                 return [(None, 0.5)]
+        first = firm[0].index(min(firm[0]))
+        if all(c[first] == min(c) for c in firm):
+            # No other language is cheaper anywhere, so no sequence can be.
+            return [(self.langs[first], self._sure(sum(margin(c) for c in firm)))]
         best, back = list(firm[0]), []
         for c in firm[1:]:
             low = min(range(n), key=lambda k: (best[k], k))
@@ -185,8 +205,12 @@ class Classifier:
                 out[-1][1] += lead
             else:
                 out.append([k, lead])
-        # A lead of some ten bytes is near certain; the value grows with the lead and stays in 0.5 to 1.
-        return [(self.langs[k], round(1 / (1 + math.exp(-lead / 4)), 4)) for k, lead in out]
+        return [(self.langs[k], self._sure(lead)) for k, lead in out]
+
+    @staticmethod
+    def _sure(lead: float) -> float:
+        """A lead of some ten bytes is near certain; the value grows with the lead and stays in 0.5 to 1."""
+        return round(1 / (1 + math.exp(-lead / 4)), 4)
 
 
 def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
