@@ -43,7 +43,7 @@ def test_exact(spark):
     items += [(50, None), (51, ""), (52, "short one"), (None, items[0][1]), (53, items[3][1])]
     want = brute(docs, items)
     assert run(spark, docs, items) == want and len(want) > 12
-    assert run(spark, docs, items, block_words=200) == want
+    assert run(spark, docs, items, broadcast_words=200) == want
 
 
 def test_hyphens_at_line_ends(spark):
@@ -60,6 +60,31 @@ def test_near_passages_reach_the_target_recall(spark):
     assert got <= want and len(want) > 8 and len(got) >= 0.9 * len(want)
 
 
+def test_recall_as_registered(spark):
+    """20 words up to two edits apart, words replaced, put in and left out, against brute force; by both ways."""
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices(WORDS, k=30))) for i in range(30)]
+    docs = []
+    for d in range(240):
+        part = L.words(items[d % 30][1])[4:24]
+        for _ in range(2):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randrange(2)] = [] if rng.random() < 1 / 3 else ["changed"]
+        docs.append((d, " ".join([*rng.choices(WORDS, k=12), *part, *rng.choices(WORDS, k=12)])))
+    grams = lambda t: [x[i : i + 20] for x in [L.words(t)] for i in range(len(x) - 19)]
+    want = {(d, d % 30) for d, t in docs if any(L.edit_distance(a, b, 2) <= 2 for a in grams(t) for b in grams(items[d % 30][1]))}
+    got = run(spark, docs, items, window=20, edits=2)
+    assert got <= want and len(want) > 150 and len(got) >= 0.95 * len(want)
+    assert run(spark, docs, items, window=20, edits=2, broadcast_words=100) == got
+
+
+def test_recall_of_single_windows():
+    made = L.edited(20, 2, 3000, seed=99)
+    k = L.repetitions(20, 2, 0.95, L.SAMPLES_NEAR)
+    a, b = (L.signatures(np.array([w for p in made for w in p[side]], np.uint64), 20, k, L.SAMPLES_NEAR)[::20] for side in (0, 1))
+    assert (a == b).any(axis=1).mean() >= 0.95
+
+
 def test_walks():
     h = L.Hasher()(WORDS[:50])
     a, b = L.signatures(h, 14, 2, 12), L.signatures(h[10:], 14, 2, 12)
