@@ -6,8 +6,9 @@ order, rare ones first, whatever else differs: each class meets the others by th
 alone. What a shared word still allows decides next: its places in both orders bound the
 words that can be shared, and so do the differing bits of two 256-bit word sums. A word
 that too many pairs share is keyed by the sizes its place allows as well. None of this
-loses a pair. For each candidate pair the shared words are counted exactly, common
-five-word seeds chained collinearly and the gaps aligned.
+loses a pair. For each candidate pair the shared words are counted exactly. Where coverage
+is asked for, five-word seeds that stand once in each text are chained collinearly and the
+gaps between them aligned word by word.
 
 Defined cases: NULL, blank and placeholder texts and ``excluded`` records never count;
 a text without words never counts; repeated rows are one record; a NULL id is left out.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apothecary.functions.text import is_blank, strip
+from apothecary.operators.components import HOT_KEYS, lookup
 from apothecary.session import materialise
 
 #: Words in a row that seed an alignment.
@@ -35,6 +37,8 @@ SHINGLE = 5
 SIMILARITY = 75
 #: A word with more train-evaluation pairs of classes than this is keyed by sizes as well.
 HOT_PAIRS = 256
+#: A class with this many records, or a thousandth of all, is cut into parts before its records meet.
+HOT_ROWS = 50_000
 #: Bands of text sizes to a factor of e.
 BANDS = 8
 #: Words in at least this part of all records count as frequent; no more than ``100 * words a record`` can be.
@@ -101,12 +105,9 @@ def word_sum(hashes: np.ndarray) -> list[int]:
 
 def align(a: list[str], b: list[str]) -> int:
     """Words of ``b`` that stand in ``a`` along one collinear chain of seeds, gaps aligned word by word."""
-    place: dict[tuple, list[int]] = {}
-    for i in range(len(a) - SHINGLE + 1):
-        place.setdefault(tuple(a[i : i + SHINGLE]), []).append(i)
-    seeds = [(j, i) for j in range(len(b) - SHINGLE + 1) for i in place.get(tuple(b[j : j + SHINGLE]), ())]
-    # The longest chain rising in both texts; ties in b come with falling a, so one place of b serves once.
-    seeds.sort(key=lambda s: (s[0], -s[1]))
+    of_a = _places(a)
+    # At most one seed a place, so repeated passages cost no more than others; the gaps still find them.
+    seeds = sorted((j, of_a[k]) for k, j in _places(b).items() if j >= 0 and of_a.get(k, -1) >= 0)
     tails: list[int] = []
     last: list[int] = []
     back: list[int] = []
@@ -132,18 +133,28 @@ def align(a: list[str], b: list[str]) -> int:
     return covered
 
 
+def _places(words_: list[str]) -> dict[tuple, int]:
+    """The place of each shingle, -1 if it has several."""
+    out: dict[tuple, int] = {}
+    for i in range(len(words_) - SHINGLE + 1):
+        k = tuple(words_[i : i + SHINGLE])
+        out[k] = -1 if k in out else i
+    return out
+
+
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of a gap."""
+    """Length of the longest common subsequence of a gap, by bits of one long number a row."""
     if not a or not b:
         return 0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if x == y else max(row[j], row[j - 1])
-            last = keep
-    return row[-1]
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        if y in masks:
+            hit = row & masks[y]
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def frequent_words(recs: DataFrame, total: int) -> dict[str, int]:
@@ -152,8 +163,8 @@ def frequent_words(recs: DataFrame, total: int) -> dict[str, int]:
     return {r["w"]: r["n"] for r in each.where(F.col("n") >= max(2, total // FREQUENT)).collect()}
 
 
-def class_pairs(recs: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """train, eval (class ids), shared, either (distinct word counts), covered, eval_words of similar, different classes."""
+def class_pairs(recs: DataFrame, hot_pairs: int = HOT_PAIRS, aligned: bool = True) -> DataFrame:
+    """train, eval (class ids), shared, either (distinct word counts), covered (0 unless ``aligned``), eval_words of similar, different classes."""
     spark = recs.sparkSession
     classes = recs.groupBy("class").agg(F.min("words").alias("words"), F.max(F.col("split") == "train").alias("t"), F.max(F.col("split") != "train").alias("e"))
     classes = materialise(classes, "overlap-classes")
@@ -206,7 +217,7 @@ def class_pairs(recs: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
                 shared = len(x & y)
                 either = len(x) + len(y) - shared
                 if shared * 100 >= SIMILARITY * either:
-                    out.append((t, e, shared, either, align(a, c), len(c)))
+                    out.append((t, e, shared, either, align(a, c) if aligned else 0, len(c)))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["train", "eval", "shared", "either", "covered", "eval_words"])
 
@@ -221,21 +232,43 @@ def _links(recs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(same)
 
 
-def prepare(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prepare(df: DataFrame, aligned: bool = True) -> tuple[DataFrame, DataFrame]:
     """The records that count, and the links between their classes."""
     recs = materialise(records(df), "overlap-records")
-    return recs, _links(recs, class_pairs(recs))
+    return recs, _links(recs, class_pairs(recs, aligned=aligned))
 
 
-def record_pairs(df: DataFrame) -> DataFrame:
-    """id_a, id_b of every similar train and evaluation record, the smaller id first."""
-    recs, links = prepare(df)
-    train = recs.where(F.col("split") == "train").select(F.col("class").alias("train"), F.col("candidate_id").alias("train_id")).distinct()
-    held = recs.where(F.col("split") != "train").select(F.col("class").alias("eval"), F.col("candidate_id").alias("eval_id")).distinct()
-    pairs = links.select("train", "eval").join(train, "train").join(held, "eval").where(F.col("train_id") != F.col("eval_id"))
+def record_pairs(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """id_a, id_b of every similar train and evaluation record, the smaller id first.
+
+    A class with very many records is cut into parts by record id on either side, and each
+    part of one side meets each part of the other in a task of its own.
+    """
+    recs, links = prepare(df, aligned=False)
+    limit = max(hot_rows, recs.count() // HOT_KEYS)
+    sizes = recs.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    parts = {r["class"]: 1 + r["n"] // max(1, limit // 2) for r in sizes.collect()}
+    many = lambda c: lookup(parts, F.col(c), F.lit(1).cast("bigint"))
+
+    def side(name: str, which) -> DataFrame:
+        own = recs.where(which).select(F.col("class").alias(name), F.col("candidate_id").alias(f"{name}_id")).distinct()
+        return own.withColumn(f"{name}_part", F.pmod(F.xxhash64(f"{name}_id"), many(name)))
+
+    for name in ("train", "eval"):
+        links = links.withColumn(f"{name}_part", F.explode(F.sequence(F.lit(0).cast("bigint"), many(name) - 1)))
+    pairs = links.select("train", "eval", "train_part", "eval_part").join(side("train", F.col("split") == "train"), ["train", "train_part"]).join(side("eval", F.col("split") != "train"), ["eval", "eval_part"])
+    pairs = pairs.where(F.col("train_id") != F.col("eval_id"))
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
 
 
+def overlaps(df: DataFrame) -> DataFrame:
+    """One row per overlapping evaluation record: class, classes it meets in train and the greatest similarity, without alignment."""
+    recs, links = prepare(df, aligned=False)
+    best = links.groupBy(F.col("eval").alias("class")).agg(F.count(F.lit(1)).alias("train_classes"), F.max(F.round(F.col("shared") / F.col("either"), 4)).alias("similarity"))
+    held = recs.where(F.col("split") != "train").select("candidate_id", "split", "source", "class").distinct()
+    return held.join(best, "class").select("candidate_id", "split", "source", "class", "train_classes", "similarity")
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """One row per overlapping evaluation record: class, classes it meets in train, greatest coverage and similarity."""
     recs, links = prepare(df)

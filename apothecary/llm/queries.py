@@ -38,6 +38,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlap.record_pairs(table(spark, d, "phase11_examples"))
 
 
+def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap.overlaps(table(spark, d, "phase11_examples"))
+
+
 def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _overlap.coverage(table(spark, d, "phase11_examples"))
 
@@ -101,7 +105,7 @@ def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _languages.find(_documents(spark, d, "lang"))
 
 
-_ALL = (p1_found, p1_splits, p3_found, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
+_ALL = (p1_found, p1_splits, p3_found, p3_overlaps, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WS = r"\s"
@@ -110,12 +114,20 @@ _TIED = rf"""with recursive e as (select distinct candidate_id as node, x as ent
 reach(node, other) as (select node, node from e union select r.node, b.node from reach r join e a on a.node = r.other join e b on b.entity = a.entity)
 select first_id, candidate_id from (select node as candidate_id, min(other) as first_id from reach group by node) where first_id <> candidate_id"""
 
-_OVERLAPS = r"""with r as (select distinct candidate_id, split = 'train' as train, list_distinct(regexp_extract_all(lower(strip_accents(raw_text)), '[a-z0-9]+')) as w from phase11_examples
-  where split in ('train', 'validation', 'test', 'gold_evaluation') and trim(raw_text) <> '' and lower(trim(raw_text)) <> '[fda reason missing]'),
-x as (select candidate_id, train, len(w) as n, hash(list_sort(w)) as k, unnest(w) as word from r),
-p as (select t.candidate_id as a, e.candidate_id as b, t.k, e.k, t.n as n, e.n as m, count(*) as shared from x t join x e on t.word = e.word where t.train and not e.train group by all)
+_WORDS_OF_RECORDS = r"""r as (select distinct candidate_id, split, source, split = 'train' as train, regexp_extract_all(lower(strip_accents(raw_text)), '[a-z0-9]+') as l, list_distinct(regexp_extract_all(lower(strip_accents(raw_text)), '[a-z0-9]+')) as w from phase11_examples
+  where split in ('train', 'validation', 'test', 'gold_evaluation') and trim(raw_text) <> '' and lower(trim(raw_text)) <> '[fda reason missing]')"""
+
+_OVERLAPS = rf"""with {_WORDS_OF_RECORDS},
+x as (select candidate_id, train, len(w) as n, unnest(w) as word from (select distinct candidate_id, train, list_sort(w) as w from r)),
+p as (select t.candidate_id as a, e.candidate_id as b, t.n as n, e.n as m, count(*) as shared from x t join x e on t.word = e.word where t.train and not e.train group by all)
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from p where a <> b and 4 * shared >= 3 * (n + m - shared)"""
 
+_OVERLAP_RECORDS = rf"""with {_WORDS_OF_RECORDS}, c as (select md5(array_to_string(l, ' ')) as class, any_value(w) as w, bool_or(train) as t, bool_or(not train) as e from r where len(l) > 0 group by 1),
+x as (select class, t, e, len(w) as n, unnest(w) as word from c),
+p as (select a.class as train, b.class as eval, a.n as n, b.n as m, count(*) as shared from x a join x b on a.word = b.word where a.t and b.e group by all),
+best as (select eval as class, count(*) as train_classes, max(round(shared / (n + m - shared), 4)) as similarity from p where 4 * shared >= 3 * (n + m - shared) group by eval)
+select distinct candidate_id, split, source, class, train_classes, similarity from (select candidate_id, split, source, md5(array_to_string(l, ' ')) as class from r where not train and len(l) > 0) join best using (class)"""
+
 _COPIES = r"""with t as (select 'recalls' as feed, lpad(row_id::varchar, 20, '0') as id, reason_for_recall as text from recalls where snapshot = (select max(snapshot) from recalls)
   union all select 'phase12_examples', candidate_id, raw_text from phase12_examples),
 k as (select feed, id, array_to_string(list_sort(list_filter(list_transform(string_split(lower(text), ';'), lambda p: regexp_replace(p, '[^\p{L}\p{Nd}]+', '', 'g')), lambda p: p <> '')), ';') as key
@@ -128,4 +140,4 @@ dg as (select distinct doc_id, array_to_string(w[p:p + 13], ' ') as g from (sele
 ig as (select distinct item_id, array_to_string(w[p:p + 13], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 12)) as p from i))
 select distinct doc_id, item_id from dg join ig using (g)"""
 
-SQL: dict[str, str] = {"p1_found": _TIED, "p3_found": _OVERLAPS, "p6_found": _COPIES, "p9_found": _LEAKS}
+SQL: dict[str, str] = {"p1_found": _TIED, "p3_found": _OVERLAPS, "p3_overlaps": _OVERLAP_RECORDS, "p6_found": _COPIES, "p9_found": _LEAKS}

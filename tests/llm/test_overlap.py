@@ -92,6 +92,19 @@ def test_coverage_and_report(spark):
     assert {(r["split"], r["source"], r["records"]) for r in O.report(df).collect()} == {("test", "s", 1), ("test", "r", 1)}
 
 
+def test_large_classes_are_cut(spark):
+    rows = [(f"{'t' if k % 2 else 'e'}{k}", "one two three four five" if k < 40 else f"one two three four five{k}", "train" if k % 2 else "test") for k in range(60)]
+    df = spark.createDataFrame([(*r, "s", "c", "x") for r in rows], SCHEMA)
+    assert {tuple(r) for r in O.record_pairs(df, hot_rows=5).collect()} == brute(rows) == pairs(spark, rows)
+
+
+def test_overlaps(spark):
+    text = " ".join(WORDS[:40])
+    rows = [("a", text, "train", "s", "c", "x"), ("b", text, "test", "s", "c", "x"), ("c", " ".join(WORDS[:36]), "test", "r", "c", "x"), ("d", "apart", "test", "r", "c", "x")]
+    got = {r["candidate_id"]: (r["train_classes"], r["similarity"]) for r in O.overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"b": (1, 1.0), "c": (1, 0.9)}
+
+
 def test_alignment():
     a = "a b c d e f g h".split()
     assert O.align(a, a) == 8
@@ -100,3 +113,17 @@ def test_alignment():
     assert O.align(a, "f g h a b c d e".split()) in (5, 6)
     assert O.align([], ["a"]) == 0
     assert O.align(["p"] * 30, ["p"] * 10) == 10
+    rng = random.Random(3)
+    for _ in range(50):
+        x, y = (rng.choices("abcd", k=rng.randrange(30)) for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for u in x:
+            row = _lcs_row(row, u, y)
+        assert O._common(x, y) == row[-1]
+
+
+def _lcs_row(row, u, y):
+    out = [0]
+    for j, v in enumerate(y, 1):
+        out.append(row[j - 1] + 1 if u == v else max(row[j], out[-1]))
+    return out
