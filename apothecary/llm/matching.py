@@ -1,18 +1,21 @@
 """Match free descriptions to products of a directory that share no key with them.
 
 Descriptions and products are brought to the same attributes: ingredient names (brand
-names standing for ingredients), salts, strengths in milligrams, dosage form, labeler.
-Equal attribute sets are matched once. Names and labelers are noisy: their character
-bigrams are encoded as 256-bit vectors, and all pairs within ``RADIUS`` differing bits are
-found exactly by multi-index hashing (vectors that close agree on one of ``RADIUS + 1``
-parts). Pairs that agree on strengths and form get a field-weighted Dice score; scores
-become confidences by the share of right pairs per score band among records that do
-carry a usable code.
+names standing for ingredients), each with its strength in milligrams where the text tells
+which is whose, salts, dosage form, labeler. Equal attribute sets are matched once. Names
+and labelers are noisy: their character bigrams are encoded as 256-bit vectors, and all
+pairs within ``RADIUS`` differing bits are found exactly by multi-index hashing (vectors
+that close agree on one of ``RADIUS + 1`` parts). Strengths and form must agree outright,
+so names meet only within their strengths and form, and labelers only within a name,
+strengths and form besides: no index is searched across the whole directory. Pairs get a
+field-weighted Dice score; scores become confidences by the share of right pairs per score
+band among records that do carry a usable code.
 
 Defined cases: records without key, records with a code of a directory product, and
 products without ingredients or strengths are left out; a description without strength,
-form, name or labeler matches nothing; equal products all match; empty tables give no
-rows; repeated rows count once.
+form, name or labeler matches nothing; where a text has as many strengths as names they
+belong together in order, else only their totals are compared; equal products all match;
+empty tables give no rows; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -77,12 +80,17 @@ def milligrams(number: str, unit: str) -> str:
 
 
 def strengths(text: str) -> list[str]:
-    """All strengths of a text in milligrams, sorted; amounts after a slash or ``per`` are denominators."""
+    """All strengths of a text in milligrams, sorted."""
+    return sorted(told_strengths(text))
+
+
+def told_strengths(text: str) -> list[str]:
+    """All strengths of a text in milligrams, in order; amounts after a slash or ``per`` are denominators."""
     out = []
     for m in _STRENGTH.finditer(text):
         if not re.search(r"(?:/|\bper)\s*$", text[: m.start()], re.I):
             out.append(milligrams(m[1], m[2]))
-    return sorted(out)
+    return out
 
 
 def form(text: str) -> str | None:
@@ -91,24 +99,36 @@ def form(text: str) -> str | None:
 
 
 def firm(text: str | None) -> tuple[str | None, str | None]:
-    """(first own word, kind) of a firm's name in any of its spellings."""
+    """(all own words, kind) of a firm's name in any of its spellings."""
     ws = [w for w in _WORD.findall((text or "").lower()) if w not in LEGAL]
     own = [w for w in ws if w not in KINDS]
     kind = next((KINDS[w] for w in ws if w in KINDS), None)
-    return (own[0] if own else None), kind
+    return (" ".join(own) or None), kind
+
 
+_FORMED = re.compile("|".join(p for _, p in FORMS))
 
-def names(text: str) -> tuple[list[str], list[str]]:
-    """(name words, salts) of the part of a description that speaks of the product."""
+
+def own_words(text: str) -> list[str]:
+    """Words that may be names, in order, each once."""
     ws = _WORD.findall(_STRENGTH.sub(" ", text).lower())
-    salts = sorted({SALT_WORDS[w] for w in ws if w in SALT_WORDS})
-    formed = re.compile("|".join(p for _, p in FORMS))
-    own = [w for w in ws if w not in SALT_WORDS and w not in _NOISE and len(w) > 3 and not formed.fullmatch(w)]
-    return sorted(dict.fromkeys(own)), salts
+    return list(dict.fromkeys(w for w in ws if w not in SALT_WORDS and w not in _NOISE and len(w) > 1 and not _FORMED.fullmatch(w)))
+
+
+def salts(text: str) -> list[str]:
+    return sorted({SALT_WORDS[w] for w in _WORD.findall(_STRENGTH.sub(" ", text).lower()) if w in SALT_WORDS})
+
+
+def is_long(word: str) -> bool:
+    """Shorter words count as names only where the directory has them."""
+    return len(word) > 3
 
 
 def describe(product: str, generic: str | None, company: str | None) -> dict:
-    """Attributes of a record: the firm comes from ``company`` or else from the text behind a word such as ``Mfd. by``."""
+    """Attributes of a record: the firm comes from ``company`` or else from the text behind a word such as ``Mfd. by``.
+
+    ``own`` holds the strength of each name, None where the text does not tell.
+    """
     found = _FIRM.search(product)
     head = product[: found.start()] if found else product
     if company is None and found:
@@ -117,9 +137,12 @@ def describe(product: str, generic: str | None, company: str | None) -> dict:
             tail = tail[again.end() :]
         company = re.split(r"[,;(]|\s-\s|\.\s|$", tail, maxsplit=1)[0] or None
     head = re.sub(r"\(?\s*\bndc\b.*?(?:\)|$)", " ", head, flags=re.I)
-    words, salts = names(f"{head} {generic or ''}")
+    told, all_strengths = own_words(head), told_strengths(head)
+    long = [w for w in told if is_long(w)]
+    own = dict(zip(long, all_strengths)) if len(long) == len(all_strengths) > 1 else {}
+    words = sorted({*told, *own_words(generic or "")})
     maker, kind = firm(company)
-    return {"names": words, "salts": salts, "strengths": strengths(head), "form": form(head), "maker": maker, "kind": kind}
+    return {"names": words, "own": [own.get(w) for w in words], "salts": salts(f"{head} {generic or ''}"), "strengths": sorted(all_strengths), "form": form(head), "maker": maker, "kind": kind}
 
 
 def bigrams(word: str) -> set[str]:
@@ -139,35 +162,40 @@ def dice(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def _encoded(words: DataFrame) -> DataFrame:
+def _encoded(words: DataFrame, within: list[str]) -> DataFrame:
     """Each word with its vector as parts (for the index) and whole (for the comparison)."""
     size = -(-BITS // (RADIUS + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, vector(w)) for w in b.column(0).to_pylist()]
-            parts = pa.array([[f"{i}:{(v >> (i * size)) & ((1 << size) - 1):x}" for i in range(RADIUS + 1)] for _, v in rows], pa.list_(pa.string()))
-            whole = pa.array([[((v >> (64 * i)) & (2**64 - 1)) - (2**64 if (v >> (64 * i + 63)) & 1 else 0) for i in range(BITS // 64)] for _, v in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), parts, whole], ["word", "parts", "bits"])
+            known: dict[str, int] = {}
+            rows = [known[w] if w in known else known.setdefault(w, vector(w)) for w in b.column(0).to_pylist()]
+            parts = pa.array([[f"{i}:{(v >> (i * size)) & ((1 << size) - 1):x}" for i in range(RADIUS + 1)] for v in rows], pa.list_(pa.string()))
+            whole = pa.array([[((v >> (64 * i)) & (2**64 - 1)) - (2**64 if (v >> (64 * i + 63)) & 1 else 0) for i in range(BITS // 64)] for v in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, parts, whole], ["word", *within, "parts", "bits"])
+
+    kept = "".join(f", {c} string" for c in within)
+    return words.select("word", *within).mapInArrow(run, f"word string{kept}, parts array<string>, bits array<bigint>")
+
 
-    return words.select("word").mapInArrow(run, "word string, parts array<string>, bits array<bigint>")
+def candidates(asked: DataFrame, known: DataFrame, within: list[str]) -> DataFrame:
+    """Pairs that agree on a part of their vectors and on all of ``within``: asked, a, known, k."""
+    a = _encoded(asked, within).select(F.col("word").alias("asked"), *within, F.col("bits").alias("a"), F.explode("parts").alias("part"))
+    k = _encoded(known, within).select(F.col("word").alias("known"), *within, F.col("bits").alias("k"), F.explode("parts").alias("part"))
+    return a.join(k, [*within, "part"])
 
 
-def close_words(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """asked, known, dice: equal words, and for words that equal none all pairs within the radius.
+def close_words(asked: DataFrame, known: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """asked, known, dice (and ``within``): all pairs within the radius, equal words with a Dice of 1.
 
-    ``asked`` and ``known`` have distinct ``word``; each pair is compared once by its bits.
+    ``asked`` and ``known`` have distinct rows of ``word`` and ``within``.
     """
-    same = asked.join(known, "word").select(F.col("word").alias("asked"), F.col("word").alias("known"), F.lit(1.0).alias("dice"))
-    other = _encoded(asked.join(known, "word", "left_anti"))
-    base = _encoded(known)
-    a = other.select(F.col("word").alias("asked"), F.col("bits").alias("a"), F.explode("parts").alias("part"))
-    k = base.select(F.col("word").alias("known"), F.col("bits").alias("k"), F.explode("parts").alias("part"))
+    within = within or []
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("k", F.lit(i)))) for i in range(BITS // 64)])
     ones = lambda c: reduce(lambda x, y: x + y, [F.bit_count(F.get(c, F.lit(i))) for i in range(BITS // 64)])
-    near = a.join(k, "part").where(apart <= RADIUS)
-    score = (ones("a") + ones("k") - apart) / (ones("a") + ones("k"))
-    return same.unionByName(near.select("asked", "known", score.alias("dice")).where(F.col("dice") >= LEAST_DICE).distinct())
+    near = candidates(asked, known, within).where((apart <= RADIUS) | (F.col("asked") == F.col("known")))
+    score = F.when(F.col("asked") == F.col("known"), 1.0).otherwise(F.least(F.lit(0.99), (ones("a") + ones("k") - apart) / (ones("a") + ones("k"))))
+    return near.select("asked", "known", *within, score.alias("dice")).where(F.col("dice") >= LEAST_DICE).distinct()
 
 
 def _codes(feed: str) -> Column:
@@ -192,19 +220,19 @@ def coded(rows: DataFrame, ndc: DataFrame, feed: str) -> DataFrame:
     return carried.join(index, "code").select("record_key", "product_ndc").distinct()
 
 
-_ATTRIBUTES = "names array<string>, salts array<string>, strengths string, form string, maker string, kind string"
+_ATTRIBUTES = "names array<string>, own array<string>, salts array<string>, strengths string, form string, maker string, kind string"
 
 
 def _described(rows: DataFrame) -> DataFrame:
     """feed, record_key and attributes of feed, record_key, product, generic, company."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("feed", pa.string()), ("record_key", pa.string()), ("names", pa.list_(pa.string())), ("salts", pa.list_(pa.string())), ("strengths", pa.string()), ("form", pa.string()), ("maker", pa.string()), ("kind", pa.string())])
+        schema = pa.schema([("feed", pa.string()), ("record_key", pa.string()), ("names", pa.list_(pa.string())), ("own", pa.list_(pa.string())), ("salts", pa.list_(pa.string())), ("strengths", pa.string()), ("form", pa.string()), ("maker", pa.string()), ("kind", pa.string())])
         for b in batches:
             out = []
             for feed, key, product, generic, company in zip(*(b.column(k).to_pylist() for k in range(5))):
                 d = describe(product or "", generic, company)
-                if d["names"] and d["strengths"] and d["form"] and d["maker"]:
+                if any(map(is_long, d["names"])) and d["strengths"] and d["form"] and d["maker"]:
                     out.append({"feed": feed, "record_key": key, **d, "strengths": "|".join(d["strengths"])})
             yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -215,24 +243,26 @@ def _products(ndc: DataFrame) -> DataFrame:
     """product_ndc and attributes of the products whose ingredients and strengths are known; ``brand`` beside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("product_ndc", pa.string()), ("names", pa.list_(pa.string())), ("salts", pa.list_(pa.string())), ("strengths", pa.string()), ("form", pa.string()), ("maker", pa.string()), ("kind", pa.string()), ("brand", pa.string())])
+        schema = pa.schema([("product_ndc", pa.string()), ("names", pa.list_(pa.string())), ("own", pa.list_(pa.string())), ("salts", pa.list_(pa.string())), ("strengths", pa.string()), ("form", pa.string()), ("maker", pa.string()), ("kind", pa.string()), ("brand", pa.list_(pa.string()))])
         for b in batches:
             out = []
             for code, brand, labeler, dosage, parts in zip(*(b.column(k).to_pylist() for k in range(5))):
                 parts = [p for p in parts or [] if p and (p["name"] is not None or p["strength"] is not None)]
                 if not parts or any(not (p["name"] or "").strip() or not strengths(p["strength"] or "") for p in parts):
                     continue
-                words, salts = zip(*(names(p["name"]) for p in parts))
                 maker, kind = firm(labeler)
                 shape = form((dosage or "").replace("/", " "))
-                own = sorted({w for ws in words for w in ws})
-                if own and shape and maker:
-                    mg = sorted(s for p in parts for s in strengths(p["strength"])[:1])
-                    out.append({"product_ndc": code, "names": own, "salts": sorted({s for x in salts for s in x}), "strengths": "|".join(mg), "form": shape, "maker": maker, "kind": kind, "brand": " ".join(_WORD.findall((brand or "").lower())) or None})
+                # A name that several ingredients share has no strength of its own.
+                each = [(w, "|".join(strengths(p["strength"]))) for p in parts for w in own_words(p["name"])]
+                of = {w: {s for x, s in each if x == w} for w, _ in each}
+                if of and shape and maker:
+                    own = sorted(of)
+                    mg = sorted(s for p in parts for s in strengths(p["strength"]))
+                    out.append({"product_ndc": code, "names": own, "own": [min(of[w]) if len(of[w]) == 1 else None for w in own], "salts": sorted({s for p in parts for s in salts(p["name"])}), "strengths": "|".join(mg), "form": shape, "maker": maker, "kind": kind, "brand": own_words(brand or "")})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     rows = ndc.where(F.col("product_ndc").isNotNull()).select("product_ndc", "brand_name", "labeler_name", "dosage_form", "active_ingredients")
-    return rows.mapInArrow(run, f"product_ndc string, {_ATTRIBUTES}, brand string")
+    return rows.mapInArrow(run, f"product_ndc string, {_ATTRIBUTES}, brand array<string>")
 
 
 def _score() -> Column:
@@ -247,18 +277,26 @@ def score_pairs(sets: DataFrame, products: DataFrame) -> DataFrame:
     All ingredients of the product must be named, or its brand; strengths and form
     must be equal; names and labeler close. Of the pairs of a set the best are kept.
     """
-    sets = sets.withColumn("n_names", F.size("names"))
-    asked = sets.select(F.explode("names").alias("word")).distinct()
-    entries = products.select("product_ndc", F.explode("names").alias("word"), F.lit("ingredient").alias("role"), F.size("names").alias("need"))
-    brands = products.where(F.col("brand").isNotNull()).select("product_ndc", F.col("brand").alias("word"), F.lit("brand").alias("role"), F.lit(1).alias("need"))
-    lexicon = materialise(close_words(asked, entries.unionByName(brands).select("word").distinct()), "match-words")
-    makers = close_words(sets.select(F.col("maker").alias("word")).distinct(), products.select(F.col("maker").alias("word")).distinct())
-    makers = makers.select(F.col("asked").alias("maker"), F.col("known").alias("p_maker"), F.col("dice").alias("maker_dice"))
-
-    block = products.select("product_ndc", "strengths", "form", F.col("maker").alias("p_maker"), F.col("kind").alias("p_kind"), F.col("salts").alias("p_salts"))
-    entry = entries.unionByName(brands).withColumnRenamed("word", "known").join(block, "product_ndc")
-    rows = sets.select("sid", "strengths", "form", "maker", "kind", "salts", "n_names", F.explode("names").alias("asked")).join(makers, "maker")
-    hits = rows.join(lexicon, "asked").join(entry, ["known", "strengths", "form", "p_maker"])
+    long_names = F.filter("names", lambda w: F.length(w) > 3)
+    block = ["strengths", "form"]
+    each = sets.select("sid", *block, "maker", "kind", "salts", F.size(long_names).alias("n_names"), F.explode(F.arrays_zip("names", "own")).alias("n"))
+    each = each.select("sid", *block, "maker", "kind", "salts", "n_names", F.col("n.names").alias("asked"), F.col("n.own").alias("own"))
+    told = products.select("product_ndc", *block, F.col("maker").alias("p_maker"), F.col("kind").alias("p_kind"), F.col("salts").alias("p_salts"), "names", "own", "brand")
+    entries = told.select("*", F.explode(F.arrays_zip("names", "own")).alias("n"), F.lit("ingredient").alias("role"), F.size("names").alias("need")).withColumns({"known": F.col("n.names"), "p_own": F.col("n.own")})
+    brands = told.select("*", F.explode("brand").alias("known"), F.lit("brand").alias("role"), F.size("brand").alias("need")).withColumn("p_own", F.lit(None).cast("string"))
+    columns = ["product_ndc", *block, "p_maker", "p_kind", "p_salts", "known", "p_own", "role", "need"]
+    entry = materialise(entries.select(*columns).unionByName(brands.select(*columns)), "match-entries")
+
+    words = lambda df, c, *more: df.select(F.col(c).alias("word"), *more).distinct()
+    lexicon = close_words(words(each, "asked", *block), words(entry, "known", *block), block)
+    rows = materialise(each.join(lexicon, ["asked", *block]), "match-names")
+    name = ["known", *block]
+    # ``known`` names the name here, so the pairs of labelers go by other names.
+    base = lambda df, c: words(df, c, F.col("known").alias("name"), *block)
+    makers = close_words(base(rows, "maker"), base(entry, "p_maker"), ["name", *block])
+    makers = makers.select(F.col("asked").alias("maker"), F.col("known").alias("p_maker"), F.col("name").alias("known"), *block, F.col("dice").alias("maker_dice"))
+    hits = rows.join(makers, ["maker", *name]).join(entry, [*name, "p_maker"])
+    hits = hits.where(F.col("own").isNull() | F.col("p_own").isNull() | (F.col("own") == F.col("p_own")))
     one = hits.groupBy("sid", "product_ndc", "role", "known").agg(
         F.max("dice").alias("dice"), F.first("need").alias("need"), F.max("maker_dice").alias("maker_dice"), F.first("kind").alias("kind"), F.first("p_kind").alias("p_kind"), F.first("salts").alias("salts"), F.first("p_salts").alias("p_salts"), F.first("n_names").alias("n_names")
     )
@@ -286,7 +324,7 @@ def match(recalls: DataFrame, shortages: DataFrame, ndc: DataFrame) -> DataFrame
     codes = [coded(df, ndc, feed).select(F.lit(feed).alias("feed"), "record_key", "product_ndc") for feed, df in source.items()]
     codes = materialise(codes[0].unionByName(codes[1]), "match-codes")
     rows = [df.select(F.lit(feed).alias("feed"), record_key(feed).alias("record_key"), "_product", "_generic", "_company").where(F.col("record_key").isNotNull()).distinct() for feed, df in source.items()]
-    attributes = ["names", "salts", "strengths", "form", "maker", "kind"]
+    attributes = ["names", "own", "salts", "strengths", "form", "maker", "kind"]
     described = _described(rows[0].unionByName(rows[1])).withColumn("sid", F.sha2(F.to_json(F.struct(*attributes)), 256))
     described = materialise(described, "match-records")
     products = materialise(_products(ndc).distinct(), "match-products")

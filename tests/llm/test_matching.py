@@ -30,7 +30,11 @@ def recall(key, text, code=None, openfda=None):
 
 def test_parsing():
     d = M.describe("Rx paronafene 500 mcg and quitadazine 0.04 g/1 mL Inj. soln - 10 x vial - Mfd. by: Dist. by Telkava Drug Works (USA) - Quiro", None, None)
-    assert d == {"names": ["paronafene", "quitadazine"], "salts": [], "strengths": ["0.5", "40"], "form": "injection", "maker": "telkava", "kind": "drug"}
+    assert d == {"names": ["paronafene", "quitadazine"], "own": ["0.5", "40"], "salts": [], "strengths": ["0.5", "40"], "form": "injection", "maker": "telkava", "kind": "drug"}
+    d = M.describe("quitadazine and paronafene 40 mg/0.5 mg inj, Mfg: Corvanta Meridian Pharma, Quiro", None, None)
+    assert (d["names"], d["own"], d["maker"], d["kind"]) == (["paronafene", "quitadazine"], [None, None], "corvanta meridian", "pharma")
+    d = M.describe("quitadazine 40 mg and paronafene 0.5 mg inj, Mfg: Telkava", None, None)
+    assert (d["names"], d["own"]) == (["paronafene", "quitadazine"], ["0.5", "40"])
     d = M.describe("ZELOMIXAMER NA FC TABS, 1,000MG, BOTTLE OF 10, MADE FOR CORVANTA LABS INC.", None, None)
     assert (d["strengths"], d["salts"], d["form"], d["maker"], d["kind"]) == (["1000"], ["sodium"], "tablet", "corvanta", "laboratories")
     assert M.strengths("5 mg per g, 2 mg/1 mL, .5 mg/5 g") == ["0.5", "2", "5"]
@@ -46,10 +50,30 @@ def test_near_pairs_are_exact(spark):
     got = {(r["asked"], r["known"]) for r in M.close_words(frame(asked), frame(known)).collect()}
     dice = lambda x, y: 1 - (x ^ y).bit_count() / (x.bit_count() + y.bit_count())
     v = {w: M.vector(w) for w in {*asked, *known}}
-    want = {(a, k) for a in asked for k in known if (a == k if a in known else (v[a] ^ v[k]).bit_count() <= M.RADIUS and dice(v[a], v[k]) >= M.LEAST_DICE)}
+    want = {(a, k) for a in asked for k in known if (v[a] ^ v[k]).bit_count() <= M.RADIUS and dice(v[a], v[k]) >= M.LEAST_DICE}
     assert got == want and len(want) > 100
 
 
+def test_names_meet_within_strengths_and_form_only(spark):
+    rng = random.Random(4)
+    words = lambda n: [("".join(rng.choices("abcdeiorstu", k=rng.randrange(5, 14))), str(rng.randrange(1, 26)), rng.choice([f for f, _ in M.FORMS])) for _ in range(n)]
+    asked, known = (spark.createDataFrame(words(n), "word string, strengths string, form string").distinct().cache() for n in (600, 900))
+    block = ["strengths", "form"]
+    met = M.candidates(asked, known, block).select("asked", "known", *block).distinct().count()
+    assert 0 < met < 0.01 * asked.count() * known.count()
+    v = {r["word"]: M.vector(r["word"]) for r in [*asked.collect(), *known.collect()]}
+    dice = lambda x, y: 1 - (x ^ y).bit_count() / (x.bit_count() + y.bit_count())
+    want = {(a["word"], k["word"], a["strengths"], a["form"]) for a in asked.collect() for k in known.collect() if a[1:] == k[1:] and (v[a[0]] ^ v[k[0]]).bit_count() <= M.RADIUS and dice(v[a[0]], v[k[0]]) >= M.LEAST_DICE}
+    assert {tuple(r)[:4] for r in M.close_words(asked, known, block).select("asked", "known", *block).collect()} == want
+
+
+def test_strengths_and_whole_labelers_count(spark):
+    recalls = [recall("S-1", "quitadazine 0.5 mg and paronafene 40 mg, injection, Packaged by Telkava Drug Works"), recall("S-2", "quitadazine 40 mg and paronafene 0.5 mg, injection, Packaged by Telkava Drug Works"), recall("S-3", "zelomixamer 20 mg tablets, Mfg: Corvanta Meridian Pharma"), recall("S-4", "zelomixamer 20 mg tablets, Mfg: Corvanta Pharma")]
+    got = run(spark, recalls)
+    assert ("recalls", "S-2", "00102-201") in got
+    assert not {k for _, k, _ in got} & {"S-1", "S-3"}
+
+
 def test_matches(spark):
     recalls = [
         recall("D-1", "zelomixamer na FC tabs, 20 MG, bottle of 30, Rx only, Mfd. by: Corvanta Labs, Quiro"), recall(" d-1 ", "zelomixamer na FC tabs, 20 MG, bottle of 30, Rx only, Mfd. by: Corvanta Labs, Quiro"),
