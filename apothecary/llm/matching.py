@@ -162,7 +162,7 @@ def dice(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def _encoded(words: DataFrame, within: list[str]) -> DataFrame:
+def _encoded(words: DataFrame) -> DataFrame:
     """Each word with its vector as parts (for the index) and whole (for the comparison)."""
     size = -(-BITS // (RADIUS + 1))
 
@@ -172,30 +172,31 @@ def _encoded(words: DataFrame, within: list[str]) -> DataFrame:
             rows = [known[w] if w in known else known.setdefault(w, vector(w)) for w in b.column(0).to_pylist()]
             parts = pa.array([[f"{i}:{(v >> (i * size)) & ((1 << size) - 1):x}" for i in range(RADIUS + 1)] for v in rows], pa.list_(pa.string()))
             whole = pa.array([[((v >> (64 * i)) & (2**64 - 1)) - (2**64 if (v >> (64 * i + 63)) & 1 else 0) for i in range(BITS // 64)] for v in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, parts, whole], ["word", *within, "parts", "bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns, parts, whole], ["word", "block", "parts", "bits"])
 
-    kept = "".join(f", {c} string" for c in within)
-    return words.select("word", *within).mapInArrow(run, f"word string{kept}, parts array<string>, bits array<bigint>")
+    return words.select("word", "block").mapInArrow(run, "word string, block string, parts array<string>, bits array<bigint>")
 
 
-def candidates(asked: DataFrame, known: DataFrame, within: list[str]) -> DataFrame:
-    """Pairs that agree on a part of their vectors and on all of ``within``: asked, a, known, k."""
-    a = _encoded(asked, within).select(F.col("word").alias("asked"), *within, F.col("bits").alias("a"), F.explode("parts").alias("part"))
-    k = _encoded(known, within).select(F.col("word").alias("known"), *within, F.col("bits").alias("k"), F.explode("parts").alias("part"))
-    return a.join(k, [*within, "part"])
+def candidates(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of one block that agree on a part of their vectors: block, asked, a, known, k."""
 
+    def index(words: DataFrame, name: str, bits: str) -> DataFrame:
+        rows = _encoded(words).select(F.col("word").alias(name), "block", F.col("bits").alias(bits), F.explode("parts").alias("part"))
+        return rows.select(name, "block", bits, F.xxhash64("block", "part").alias("key"))
 
-def close_words(asked: DataFrame, known: DataFrame, within: list[str] | None = None) -> DataFrame:
-    """asked, known, dice (and ``within``): all pairs within the radius, equal words with a Dice of 1.
+    return index(asked, "asked", "a").join(index(known, "known", "k"), ["key", "block"]).drop("key")
 
-    ``asked`` and ``known`` have distinct rows of ``word`` and ``within``.
+
+def close_words(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """block, asked, known, dice: all pairs of one block within the radius, equal words with a Dice of 1.
+
+    ``asked`` and ``known`` have distinct rows of ``word`` and ``block``.
     """
-    within = within or []
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("k", F.lit(i)))) for i in range(BITS // 64)])
     ones = lambda c: reduce(lambda x, y: x + y, [F.bit_count(F.get(c, F.lit(i))) for i in range(BITS // 64)])
-    near = candidates(asked, known, within).where((apart <= RADIUS) | (F.col("asked") == F.col("known")))
+    near = candidates(asked, known).where((apart <= RADIUS) | (F.col("asked") == F.col("known")))
     score = F.when(F.col("asked") == F.col("known"), 1.0).otherwise(F.least(F.lit(0.99), (ones("a") + ones("k") - apart) / (ones("a") + ones("k"))))
-    return near.select("asked", "known", *within, score.alias("dice")).where(F.col("dice") >= LEAST_DICE).distinct()
+    return near.select("block", "asked", "known", score.alias("dice")).where(F.col("dice") >= LEAST_DICE).distinct()
 
 
 def _codes(feed: str) -> Column:
@@ -278,24 +279,26 @@ def score_pairs(sets: DataFrame, products: DataFrame) -> DataFrame:
     must be equal; names and labeler close. Of the pairs of a set the best are kept.
     """
     long_names = F.filter("names", lambda w: F.length(w) > 3)
-    block = ["strengths", "form"]
-    each = sets.select("sid", *block, "maker", "kind", "salts", F.size(long_names).alias("n_names"), F.explode(F.arrays_zip("names", "own")).alias("n"))
-    each = each.select("sid", *block, "maker", "kind", "salts", "n_names", F.col("n.names").alias("asked"), F.col("n.own").alias("own"))
-    told = products.select("product_ndc", *block, F.col("maker").alias("p_maker"), F.col("kind").alias("p_kind"), F.col("salts").alias("p_salts"), "names", "own", "brand")
+    block = F.concat_ws("#", "strengths", "form").alias("block")
+    each = sets.select("sid", block, "maker", "kind", "salts", F.size(long_names).alias("n_names"), F.explode(F.arrays_zip("names", "own")).alias("n"))
+    each = each.select("sid", "block", "maker", "kind", "salts", "n_names", F.col("n.names").alias("asked"), F.col("n.own").alias("own"))
+    told = products.select("product_ndc", block, F.col("maker").alias("p_maker"), F.col("kind").alias("p_kind"), F.col("salts").alias("p_salts"), "names", "own", "brand")
     entries = told.select("*", F.explode(F.arrays_zip("names", "own")).alias("n"), F.lit("ingredient").alias("role"), F.size("names").alias("need")).withColumns({"known": F.col("n.names"), "p_own": F.col("n.own")})
     brands = told.select("*", F.explode("brand").alias("known"), F.lit("brand").alias("role"), F.size("brand").alias("need")).withColumn("p_own", F.lit(None).cast("string"))
-    columns = ["product_ndc", *block, "p_maker", "p_kind", "p_salts", "known", "p_own", "role", "need"]
-    entry = materialise(entries.select(*columns).unionByName(brands.select(*columns)), "match-entries")
-
-    words = lambda df, c, *more: df.select(F.col(c).alias("word"), *more).distinct()
-    lexicon = close_words(words(each, "asked", *block), words(entry, "known", *block), block)
-    rows = materialise(each.join(lexicon, ["asked", *block]), "match-names")
-    name = ["known", *block]
-    # ``known`` names the name here, so the pairs of labelers go by other names.
-    base = lambda df, c: words(df, c, F.col("known").alias("name"), *block)
-    makers = close_words(base(rows, "maker"), base(entry, "p_maker"), ["name", *block])
-    makers = makers.select(F.col("asked").alias("maker"), F.col("known").alias("p_maker"), F.col("name").alias("known"), *block, F.col("dice").alias("maker_dice"))
-    hits = rows.join(makers, ["maker", *name]).join(entry, [*name, "p_maker"])
+    columns = ["product_ndc", "p_maker", "p_kind", "p_salts", "p_own", "role", "need", "block", "known"]
+    entry = entries.select(*columns).unionByName(brands.select(*columns))
+
+    words = lambda df, c, within: df.select(F.col(c).alias("word"), F.col(within).alias("block")).distinct()
+    lexicon = close_words(words(each, "asked", "block"), words(entry, "known", "block"))
+    named = F.concat_ws("#", "known", "block").alias("name")
+    rows = each.join(lexicon, ["asked", "block"]).select("sid", "maker", "kind", "salts", "n_names", "own", "dice", "known", named)
+    rows = materialise(rows, "match-names")
+    entry = entry.select("product_ndc", "p_maker", "p_kind", "p_salts", "p_own", "role", "need", named)
+    # Only names that some record has need their labelers searched.
+    entry = materialise(entry.join(rows.select("name").distinct(), "name", "left_semi"), "match-entries")
+    makers = close_words(words(rows, "maker", "name"), words(entry, "p_maker", "name"))
+    makers = makers.select(F.col("block").alias("name"), F.col("asked").alias("maker"), F.col("known").alias("p_maker"), F.col("dice").alias("maker_dice"))
+    hits = rows.join(makers, ["name", "maker"]).join(entry, ["name", "p_maker"])
     hits = hits.where(F.col("own").isNull() | F.col("p_own").isNull() | (F.col("own") == F.col("p_own")))
     one = hits.groupBy("sid", "product_ndc", "role", "known").agg(
         F.max("dice").alias("dice"), F.first("need").alias("need"), F.max("maker_dice").alias("maker_dice"), F.first("kind").alias("kind"), F.first("p_kind").alias("p_kind"), F.first("salts").alias("salts"), F.first("p_salts").alias("p_salts"), F.first("n_names").alias("n_names")

@@ -46,7 +46,7 @@ def test_near_pairs_are_exact(spark):
     rng = random.Random(3)
     known = sorted({"".join(rng.choices("abcdeiour", k=rng.randrange(4, 12))) for _ in range(150)})
     asked = sorted({w[:p] + rng.choice("xyz") + w[p + rng.randrange(2) :] for w in known for p in [rng.randrange(len(w))]} | set(known[:20]))
-    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    frame = lambda ws: spark.createDataFrame([(w, "") for w in ws], "word string, block string")
     got = {(r["asked"], r["known"]) for r in M.close_words(frame(asked), frame(known)).collect()}
     dice = lambda x, y: 1 - (x ^ y).bit_count() / (x.bit_count() + y.bit_count())
     v = {w: M.vector(w) for w in {*asked, *known}}
@@ -57,14 +57,13 @@ def test_near_pairs_are_exact(spark):
 def test_names_meet_within_strengths_and_form_only(spark):
     rng = random.Random(4)
     words = lambda n: [("".join(rng.choices("abcdeiorstu", k=rng.randrange(5, 14))), str(rng.randrange(1, 26)), rng.choice([f for f, _ in M.FORMS])) for _ in range(n)]
-    asked, known = (spark.createDataFrame(words(n), "word string, strengths string, form string").distinct().cache() for n in (600, 900))
-    block = ["strengths", "form"]
-    met = M.candidates(asked, known, block).select("asked", "known", *block).distinct().count()
+    asked, known = (spark.createDataFrame(words(n), "word string, strengths string, form string").selectExpr("word", "concat_ws('#', strengths, form) AS block").distinct().cache() for n in (600, 900))
+    met = M.candidates(asked, known).select("asked", "known", "block").distinct().count()
     assert 0 < met < 0.01 * asked.count() * known.count()
     v = {r["word"]: M.vector(r["word"]) for r in [*asked.collect(), *known.collect()]}
     dice = lambda x, y: 1 - (x ^ y).bit_count() / (x.bit_count() + y.bit_count())
-    want = {(a["word"], k["word"], a["strengths"], a["form"]) for a in asked.collect() for k in known.collect() if a[1:] == k[1:] and (v[a[0]] ^ v[k[0]]).bit_count() <= M.RADIUS and dice(v[a[0]], v[k[0]]) >= M.LEAST_DICE}
-    assert {tuple(r)[:4] for r in M.close_words(asked, known, block).select("asked", "known", *block).collect()} == want
+    want = {(a["word"], k["word"], a["block"]) for a in asked.collect() for k in known.collect() if a["block"] == k["block"] and (v[a[0]] ^ v[k[0]]).bit_count() <= M.RADIUS and dice(v[a[0]], v[k[0]]) >= M.LEAST_DICE}
+    assert {tuple(r) for r in M.close_words(asked, known).select("asked", "known", "block").collect()} == want
 
 
 def test_strengths_and_whole_labelers_count(spark):
