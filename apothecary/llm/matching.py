@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apothecary.functions.text import normalize_ndc, record_key
+from apothecary.operators.components import HOT_KEYS, lookup
 from apothecary.session import materialise
 
 BITS, RADIUS = 256, 6
@@ -38,8 +39,8 @@ LEAST_DICE = 0.5
 #: Weights of the fields in a pair's score; strengths and form must agree outright.
 WEIGHTS = {"name": 0.5, "labeler": 0.35, "salt": 0.1, "kind": 0.05}
 ACCEPT = 0.5
-#: Copies of the few matches of an attribute set, so that a set many records share spreads over tasks.
-SALTS = 8
+#: An attribute set that this many records share, or a thousandth of all, is cut into parts.
+HOT_ROWS = 50_000
 
 # Ways to write salts, dosage forms, firm kinds and legal forms.
 SALT_WORDS = {
@@ -318,7 +319,7 @@ def _bands(scored: DataFrame) -> DataFrame:
     return scored.withColumn("band", F.least(F.lit(19), F.floor(F.col("score") * 20)).cast("int"))
 
 
-def match(recalls: DataFrame, shortages: DataFrame, ndc: DataFrame) -> DataFrame:
+def match(recalls: DataFrame, shortages: DataFrame, ndc: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """feed, record_key, product_ndc, score, confidence of records without a usable code."""
     source = {
         "recalls": recalls.select("*", F.col("product_description").alias("_product"), F.lit(None).cast("string").alias("_generic"), F.lit(None).cast("string").alias("_company")),
@@ -333,10 +334,13 @@ def match(recalls: DataFrame, shortages: DataFrame, ndc: DataFrame) -> DataFrame
     products = materialise(_products(ndc).distinct(), "match-products")
     sets = described.groupBy("sid").agg(*[F.first(c).alias(c) for c in attributes])
     scored = materialise(_bands(score_pairs(sets, products)), "match-scores")
-    salt = F.pmod(F.xxhash64("record_key"), F.lit(SALTS)).cast("int")
-    spread = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = described.select("feed", "record_key", "sid", salt.alias("salt")).distinct().join(spread, ["sid", "salt"])
-    found = found.groupBy("feed", "record_key", "product_ndc").agg(F.max("score").alias("score"), F.max("band").alias("band"))
+    # A set that very many records share is cut into parts by record; such sets are few.
+    limit = max(hot_rows, described.count() // HOT_KEYS)
+    many = {r["sid"]: 1 + r["n"] // max(1, limit // 2) for r in described.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).collect()}
+    parts = lookup(many, F.col("sid"), F.lit(1).cast("bigint"))
+    cut = scored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    found = described.select("feed", "record_key", "sid", F.pmod(F.xxhash64("record_key"), parts).alias("part")).distinct().join(cut, ["sid", "part"])
+    found = materialise(found.groupBy("feed", "record_key", "product_ndc").agg(F.max("score").alias("score"), F.max("band").alias("band")), "match-found")
 
     has_code = codes.select("feed", "record_key").distinct()
     known = found.join(has_code, ["feed", "record_key"], "left_semi").join(codes.withColumn("right", F.lit(1)), ["feed", "record_key", "product_ndc"], "left")

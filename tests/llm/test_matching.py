@@ -17,9 +17,9 @@ PRODUCTS = [
 ]
 
 
-def run(spark, recalls, shortages=()):
+def run(spark, recalls, shortages=(), **more):
     frames = [spark.createDataFrame(list(r), s) for r, s in ((recalls, RECALLS), (shortages, SHORTAGES), (PRODUCTS, NDC))]
-    out = M.match(*frames).collect()
+    out = M.match(*frames, **more).collect()
     assert all(0 <= r["confidence"] <= 1 for r in out)
     return {(r["feed"], r["record_key"], r["product_ndc"]) for r in out if r["confidence"] >= M.ACCEPT}
 
@@ -70,6 +70,8 @@ def test_strengths_and_whole_labelers_count(spark):
     recalls = [recall("S-1", "quitadazine 0.5 mg and paronafene 40 mg, injection, Packaged by Telkava Drug Works"), recall("S-2", "quitadazine 40 mg and paronafene 0.5 mg, injection, Packaged by Telkava Drug Works"), recall("S-3", "zelomixamer 20 mg tablets, Mfg: Corvanta Meridian Pharma"), recall("S-4", "zelomixamer 20 mg tablets, Mfg: Corvanta Pharma")]
     got = run(spark, recalls)
     assert ("recalls", "S-2", "00102-201") in got
+    same = [recall(f"H-{k}", "zelomixamer 20 mg tablets, Mfg: Corvanta Laboratories") for k in range(12)]
+    assert run(spark, same, hot_rows=3) == {("recalls", f"H-{k}", "00101-101") for k in range(12)}
     assert not {k for _, k, _ in got} & {"S-1", "S-3"}
 
 
