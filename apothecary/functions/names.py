@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import unicodedata
 
 from pyspark.sql import Column
@@ -76,6 +77,55 @@ def short_hash(c: Column, digits: int) -> Column:
     return F.substring(F.sha2(c, 256), 1, digits)
 
 
+def shortage_source_id() -> Column:
+    """Package code and a hash of what else tells shortage entries apart."""
+    parts = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in ("package_ndc", "initial_posting_date", "presentation", "company_name")])
+    return F.concat(F.coalesce("package_ndc", F.lit("missing")), F.lit(":"), short_hash(parts, 10))
+
+
+def recall_source_id() -> Column:
+    """Recall number, or event and a hash where there is none."""
+    parts = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in ("product_description", "recall_initiation_date")])
+    return F.coalesce(F.nullif("recall_number", F.lit("")), F.concat(F.lit("event-"), F.coalesce("event_id", F.lit("missing")), F.lit("-"), short_hash(parts, 10)))
+
+
+def shortage_incident_id() -> Column:
+    """One incident a generic name, company and first posting; the record itself where all three are blank."""
+    cols = [F.col(c) for c in ("generic_name", "company_name", "initial_posting_date")]
+    named = stable_id("shortage_event", *[reason_text(c) for c in cols])
+    blank = is_blank(cols[0]) & is_blank(cols[1]) & is_blank(cols[2])
+    return F.when(blank, F.concat(F.lit("shortage_record:"), shortage_source_id())).otherwise(named)
+
+
+def recall_incident_id() -> Column:
+    event = F.trim(F.coalesce("event_id", F.lit("")))
+    return F.when(event != "", F.concat(F.lit("recall_event:"), event)).otherwise(F.concat(F.lit("recall_record:"), recall_source_id()))
+
+
+def context(fields: tuple[str, ...]) -> Column:
+    """A record's own context as a map of its filled fields; blank counts as absent."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("k"), F.nullif(F.trim(F.col(f)), F.lit("")).alias("v")) for f in fields])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+
+# The fields that speak for a record of each feed.
+CONTEXT_FIELDS = {
+    "recalls": ("recall_number", "event_id", "classification", "status", "recalling_firm", "product_description", "recall_initiation_date"),
+    "shortages": ("package_ndc", "generic_name", "company_name", "status", "availability", "related_info", "initial_posting_date"),
+}
+
+
+def resolve_as_of(explicit: str | None, snapshot: str | None, generated_at: str | None) -> str:
+    """The day that ongoing shortages are counted to: stated, else the snapshot's, else the day the data was made.
+
+    Never today: the same input gives the same result on any day.
+    """
+    for told in (explicit, (snapshot or "")[:10], (generated_at or "")[:10]):
+        if told:
+            return dt.date.fromisoformat(told).isoformat()
+    raise ValueError("no day is stated and neither snapshot nor data tells one")
+
+
 def feed_date(c: Column) -> Column:
     """A calendar date by the first of four formats that fits."""
     return F.coalesce(*[F.try_to_date(c, f) for f in ("M/d/yyyy", "yyyyMMdd", "yyyy-M-d", "M-d-yyyy")])

@@ -38,6 +38,66 @@ PRIORITY = (
     "inactive_ingredient_shortage", "active_ingredient_shortage", "regulatory_delay", "regulatory_noncompliance", "labeling_packaging_error", "shipping_delay",
     "demand_increase", "product_discontinuation", "manufacturing_capacity", "manufacturing_quality_problem", "adverse_event_signal",
 )
+# The stage of the supply chain that each category speaks of.
+STAGES = {
+    "active_ingredient_shortage": "raw_material_sourcing", "inactive_ingredient_shortage": "raw_material_sourcing", "manufacturing_quality_problem": "manufacturing",
+    "manufacturing_capacity": "manufacturing", "regulatory_delay": "regulatory_review", "shipping_delay": "distribution", "demand_increase": "demand_planning",
+    "product_discontinuation": "product_lifecycle", "labeling_packaging_error": "packaging_labeling", "regulatory_noncompliance": "regulatory_compliance",
+    "adverse_event_signal": "post_market_surveillance", "recall": "post_market_action", "unknown": "unknown",
+}
+# The feed's own phrases and the category each stands for.
+PHRASES = {
+    "Shortage of an active ingredient": "active_ingredient_shortage", "Shortage of an inactive ingredient component": "inactive_ingredient_shortage",
+    "Requirements related to complying with good manufacturing practices": "manufacturing_quality_problem", "Demand increase for the drug": "demand_increase",
+    "Delay in shipping of the drug": "shipping_delay", "Regulatory delay": "regulatory_delay", "Discontinuation of the manufacture of the drug": "product_discontinuation", "Other": "unknown",
+}
+# Families of reasons that no category covers, and families at the edge of several.
+GAP_FAMILIES = {"storage_temperature_excursion": r"temperature excursion|storage temperature|temperature abuse|improper storage", "counterfeit_or_tampering": r"counterfeit|tamper"}
+EDGE_FAMILIES = {
+    "temperature_abuse": r"temperature abuse|temperature excursion", "defective_delivery_system": r"defective delivery system", "subpotent_phrasing": r"\bsubpotent\b|\bsub-potent\b",
+    "tablet_imprint": r"tablet imprint|incorrect imprint|missing imprint", "undeclared_excipients": r"undeclared excipient|incorrect excipient",
+    "shipping_quality_collision": r"(?:shipping|transit) delay.*temperature|temperature.*(?:shipping|transit) delay", "dual_cause_and": r"\b(?:and|additionally|also)\b",
+}
+CAPACITY_CONTEXT = r"production|manufactur|facility|plant|equipment|supply"
+CAPACITY_PRESSURE = r"capacity|unable|cannot|could not|delay|shortage|interruption|shutdown|closed|closure|out of business|production issue|equipment failure"
+PILOT_EDGE = r"temperature|delivery system|subpotent|imprint|excipient|shipping|transit|mislab"
+
+
+def in_family(text: Column, pattern: str) -> Column:
+    """True where a pattern stands in the text, in any case; NULL text is in no family."""
+    return F.coalesce(F.lower(F.replace(text, F.lit("\r"), F.lit(""))).rlike(pattern), F.lit(False))
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def severity(is_recall: Column, classification: Column, availability: Column, status: Column) -> Column:
+    """high, medium or low: by class for recalls, by availability and then status for shortages; medium where nothing tells."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    recall = F.when(plain(classification) == "class i", "high").when(plain(classification) == "class iii", "low").otherwise("medium")
+    short = F.when(plain(availability) == "unavailable", "high").when(plain(availability) == "limited availability", "medium").when(plain(status) == "resolved", "low").otherwise("medium")
+    return F.when(is_recall, recall).otherwise(short)
+
+
+def events(df: DataFrame) -> DataFrame:
+    """``df`` (is_recall, text, classification, availability, status) with the whole event of each record:
+    cause, confidence, stage, severity, secondary causes, evidence, fallback, collision."""
+    out = classify(df, F.col("text"))
+    stage = F.element_at(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv]), F.col("cause"))
+    others = F.transform(F.filter(F.split("matched", r"\|"), lambda m: (m != "") & (m != F.col("cause"))), lambda m: F.concat(F.lit("also_matched:"), m))
+    secondary = F.when(F.col("is_recall") & (F.col("cause") != "recall"), F.concat(others, F.array(F.lit("recall_event")))).otherwise(others)
+    field = F.when(F.col("is_recall"), "FDA reason_for_recall: ").otherwise("FDA shortage_reason: ")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    told = [F.concat(field, F.when(text != "", text).otherwise("not supplied"))]
+    told += [F.when(_filled(F.col(c)), F.concat(F.lit(f"FDA {c}: "), F.col(c))) for c in ("classification", "status", "availability")]
+    evidence = F.filter(F.array(*told), lambda x: x.isNotNull())
+    return out.withColumns(
+        {
+            "stage": stage, "secondary": secondary, "evidence": evidence, "fallback": F.col("matched") == "", "collision": F.size(F.split("matched", r"\|")) > 1,
+            "severity": severity(F.col("is_recall"), F.col("classification"), F.col("availability"), F.col("status")),
+        }
+    )
 
 
 def category_score(text: Column, category: str) -> Column:
@@ -69,8 +129,13 @@ def classify(df: DataFrame, text: Column) -> DataFrame:
     ).drop("_s")
 
 
+def pairs_of(classified: DataFrame, *keep: str) -> DataFrame:
+    """a, b and the kept columns, one row for each two categories that match a text; there are eleven categories at most."""
+    each = classified.select(*keep, F.split("matched", r"\|").alias("m")).where(F.size("m") > 1)
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return each.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.a", "p.b")
+
+
 def collision_pairs(classified: DataFrame) -> DataFrame:
     """a, b, n: how often two categories match one text."""
-    each = classified.select(F.split("matched", r"\|").alias("m")).where(F.size("m") > 1)
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return each.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs_of(classified).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

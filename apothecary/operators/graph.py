@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions.names import display_key, normalize_application, normalize_strength, words
 from apothecary.functions.text import normalize_ndc
 from apothecary.operators import ranges
+from apothecary.session import discard, file_system
 
 
 def surrogate(names: DataFrame, name: str, key: str) -> DataFrame:
@@ -20,7 +24,7 @@ def display_names(df: DataFrame, raw: str, pos: Column) -> DataFrame:
     """norm, name, spellings: the most frequent spelling a normal form, first seen on ties."""
     each = df.select(display_key(F.col(raw)).alias("norm"), F.col(raw).alias("name"), pos.alias("pos")).where(F.col("norm").isNotNull())
     counted = each.groupBy("norm", "name").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return counted.groupBy("norm").agg(F.max_by("name", F.struct("n", (-F.col("first")).alias("f"))).alias("name"), F.count(F.lit(1)).alias("spellings"))
+    return counted.groupBy("norm").agg(F.min_by("name", F.struct((-F.col("n")).alias("n"), "first", "name")).alias("name"), F.count(F.lit(1)).alias("spellings"))
 
 
 def products(ndc: DataFrame) -> DataFrame:
@@ -87,3 +91,65 @@ def repeats(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
     """rule, violations: keys that occur more than once."""
     many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return many.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("violations"))
+
+
+TABLES = ("products", "makers", "ingredients", "product_ingredients", "product_codes", "packages", "routes", "applications", "equivalence_members", "shortage_products", "recall_products")
+
+
+def tables(ndc: DataFrame, drugsfda: DataFrame, resolved: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """All tables of the graph by name: nodes and edges of the directory, and the edges of both feeds."""
+    made = products(ndc)
+    pairs = product_ingredients(ndc)
+    named = ndc.where(F.col("product_id").isNotNull())
+    packs = named.select("product_id", F.explode("packaging").alias("p")).select("product_id", normalize_ndc(F.col("p.package_ndc")).alias("code"), "p.description", "p.sample").where(F.col("code").isNotNull())
+    return {
+        "products": made.drop("active_ingredients", "route").distinct(),
+        "makers": surrogate(made.select("maker"), "maker", "maker_id"),
+        "ingredients": surrogate(pairs.select("ingredient"), "ingredient", "ingredient_id"),
+        "product_ingredients": pairs,
+        "product_codes": product_codes(ndc),
+        # Of several descriptions of a package the first by bytes stays.
+        "packages": packs.groupBy("product_id", "code").agg(F.min("description").alias("description"), F.max("sample").alias("sample")),
+        "routes": _routes(named),
+        "applications": sponsors(drugsfda, ndc),
+        "equivalence_members": equivalence_members(ndc),
+        "shortage_products": resolved.where(F.col("product_id").isNotNull()).select("row_id", "product_id", "method"),
+        "recall_products": links,
+    }
+
+
+def _routes(named: DataFrame) -> DataFrame:
+    each = named.select("product_id", F.explode("route").alias("r")).select("product_id", words(F.col("r")).alias("route"))
+    return each.where(F.col("route").isNotNull()).distinct()
+
+
+def publish(graph: dict[str, DataFrame], path: str) -> None:
+    """Write all tables beside ``path``, check the references between them, and put them in place in one step.
+
+    A broken reference or a table that is there already publishes nothing and leaves nothing behind.
+    """
+    spark = next(iter(graph.values())).sparkSession
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    held = f"{target.getParent()}/.{target.getName()}-{uuid.uuid4().hex}"
+    try:
+        for name, df in graph.items():
+            df.write.parquet(f"{held}/{name}")
+        written = {name: spark.read.schema(df.schema).parquet(f"{held}/{name}") for name, df in graph.items()}
+        checks = [orphans(written[t], "product_id", written["products"], "product_id", t) for t in ("product_ingredients", "packages", "routes", "equivalence_members")]
+        checks.append(orphans(written["product_ingredients"], "ingredient", written["ingredients"], "ingredient", "ingredient"))
+        broken = [tuple(r) for r in reduce(DataFrame.unionByName, checks).where("violations > 0").collect()]
+        if broken:
+            raise ValueError(f"references that lead nowhere: {broken}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(file_system(spark, held)[1], target):
+            raise FileExistsError(path)
+    except BaseException:
+        discard(spark, held)
+        raise
+
+
+def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a published graph; what was not published is an error."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}

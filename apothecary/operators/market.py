@@ -78,14 +78,43 @@ def rank_groups(rows: DataFrame, group: list[str], score: Column, row_id: str) -
     return rows.groupBy(*group).agg(F.min_by(row_id, F.struct((-score).alias("s"), F.col(row_id).alias("i"))).alias("representative"), F.count(F.lit(1)).alias("rows"))
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key in the given order, by a map-side combining maximum."""
-    names = df.columns
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("row"))
-    return picked.select("row.*")
+def matching(products: DataFrame, ingredients: DataFrame, needles: DataFrame, limit: int) -> DataFrame:
+    """q, product_id: for each needle its first ``limit`` finished products by id whose generic, brand or an ingredient holds it.
 
-
-def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """At most ``n`` rows of each key in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    The needles are a stated, small set; each product is compared with them once.
+    """
+    asked = [r["q"] for r in needles.collect()]
+    names = products.where("finished").select("product_id", F.array(F.coalesce("generic", F.lit("")), F.coalesce("brand", F.lit(""))).alias("n"))
+    parts = ingredients.join(products.where("finished").select("product_id"), "product_id", "left_semi").select("product_id", F.array("ingredient").alias("n"))
+    held = lambda q: F.exists("n", lambda x: F.contains(x, F.lit(q.strip().lower())))
+    found = names.unionByName(parts).select("product_id", F.explode(F.filter(F.array(*[F.when(held(q), F.lit(q)) for q in asked]), lambda x: x.isNotNull())).alias("q")).distinct()
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("product_id"))).where(F.col("r") <= limit).select("q", "product_id")
+
+
+def other_makers(matched: DataFrame, products: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """q, product_id, maker: finished products of other makers that share an ingredient with a needle's products."""
+    pairs = ingredients.select("product_id", "ingredient").distinct()
+    wanted = matched.join(pairs, "product_id").select("q", "ingredient").distinct()
+    own = matched.join(products.select("product_id", "maker"), "product_id").select("q", "maker").distinct()
+    found = pairs.join(F.broadcast(wanted), "ingredient").select("q", "product_id").distinct().join(products.where(F.col("finished") & F.col("maker").isNotNull()).select("product_id", "maker"), "product_id")
+    return found.join(own, ["q", "maker"], "left_anti").select("q", "product_id", "maker")
+
+
+def drug_report(needles: DataFrame, products: DataFrame, ingredients: DataFrame, stopped: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """q, matched, alternative_products, alternative_makers, in_shortage, in_recall, equivalents of each needle; zeros where nothing is found."""
+    matched = matching(products, ingredients, needles, limit)
+    others = other_makers(matched, products, ingredients).join(stopped, "product_id", "left")
+    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    counts = others.groupBy("q").agg(F.count(F.lit(1)).alias("alternative_products"), F.countDistinct("maker").alias("alternative_makers"), flag("in_shortage").alias("in_shortage"), flag("in_recall").alias("in_recall"))
+    groups = matched.join(members, "product_id").select("q", "group_id").distinct()
+    same = groups.join(members, "group_id").select("q", "product_id").distinct().join(matched, ["q", "product_id"], "left_anti").groupBy("q").agg(F.count(F.lit(1)).alias("equivalents"))
+    out = needles.join(matched.groupBy("q").agg(F.count(F.lit(1)).alias("matched")), "q", "left").join(counts, "q", "left").join(same, "q", "left")
+    return out.select("q", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched", "alternative_products", "alternative_makers", "in_shortage", "in_recall", "equivalents")])
+
+
+def drug_alternatives(needles: DataFrame, products: DataFrame, ingredients: DataFrame, stopped: DataFrame, limit: int) -> DataFrame:
+    """q, place, product_id, maker: of each other maker its one product most in trouble; the first ``limit`` of a needle."""
+    others = other_makers(matching(products, ingredients, needles, limit), products, ingredients).join(stopped, "product_id", "left")
+    trouble = F.struct((~F.coalesce("in_recall", F.lit(False))).alias("r"), (~F.coalesce("in_shortage", F.lit(False))).alias("s"), F.col("product_id").alias("p"))
+    one = others.groupBy("q", "maker").agg(F.min(trouble).alias("t"))
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("t"))).where(F.col("place") <= limit).select("q", "place", F.col("t.p").alias("product_id"), "maker")

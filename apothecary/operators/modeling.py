@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,3 +104,84 @@ def missing_report(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
 def violations(rules: dict[str, DataFrame]) -> DataFrame:
     """rule, violations of each set of offending rows."""
     return reduce(DataFrame.unionByName, [bad.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("violations")) for name, bad in rules.items()])
+
+
+def holdout_sizes(sizes: dict[str, int], total: int, share: float, cover: set[str]) -> dict[str, int]:
+    """How many rows of each class are held out: ``total`` in all, one at least of each class in ``cover``, one left of every class.
+
+    Each next row goes to the class that is furthest below its share; larger and later-named
+    classes win ties. The bulk is given at once, so the work depends on the number of classes only.
+    """
+    out = {c: max(int(c in cover), min(n - 1, math.floor(share * n) - 1), 0) for c, n in sizes.items()}
+    if sum(out.values()) > total:
+        raise ValueError("the held-out total does not cover every class")
+    for _ in range(total - sum(out.values())):
+        open_ = [c for c, n in sizes.items() if out[c] < n - 1]
+        if not open_:
+            raise ValueError("not enough rows to hold out")
+        out[max(open_, key=lambda c: (share * sizes[c] - out[c], sizes[c], c))] += 1
+    return out
+
+
+def exact_split(df: DataFrame, row: str, label: str, share: float = 0.15) -> DataFrame:
+    """row, label, split: validation and test of exactly ``share`` of all rows each, stratified by label, in seeded hash order."""
+    sizes = {r["label"]: r["n"] for r in df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = round(sum(sizes.values()) * share)
+    cover = {c for c, n in sizes.items() if n >= 3}
+    validation = holdout_sizes(sizes, total, share, cover)
+    test = holdout_sizes({c: n - validation[c] for c, n in sizes.items()}, total, share, cover)
+    if not sizes:
+        return df.select(row, label, F.lit("train").alias("split"))
+    upto = lambda of: F.element_at(F.create_map(*[F.lit(x) for c, n in of.items() for x in (c, n)]), F.col(label))
+    ranked = ranges.by_hash(df.select(row, label), [label], seeded(row), row, "_r")
+    split = F.when(F.col("_r") <= upto(validation), "validation").when(F.col("_r") <= upto({c: validation[c] + test[c] for c in sizes}), "test").otherwise("train")
+    return ranked.select(row, label, split.alias("split"))
+
+
+def diverse_rank(df: DataFrame, by: list[str], text: str, row: str, seed: str, rank: str) -> DataFrame:
+    """``df`` with its place within ``by``: the first of each text in seeded hash order first, repeats behind them.
+
+    Meant for a bounded top of each group: a filter on the rank prunes before the shuffle.
+    """
+    rows = df.withColumn("_h", seeded(row, seed))
+    keys = [*by, text]
+    firsts = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.min(F.struct("_h", row)).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    rows = rows.join(firsts, same).withColumn("_again", F.struct("_h", row) > F.col("_first")).drop("_first", *[f"_k{i}" for i in range(len(keys))])
+    order = Window.partitionBy(*by).orderBy("_again", "_h", row)
+    return rows.withColumn(rank, F.row_number().over(order)).drop("_h", "_again")
+
+
+def quota_sample(pool: DataFrame, by: str, text: str, row: str, quota: dict[str, int], edge: Column, seed: str, edge_share: float = 0.4) -> DataFrame:
+    """At most ``quota`` rows of each group: two fifths of them from the edge where it has as many, the rest from all others."""
+    asked = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(by))
+    rows = pool.withColumns({"_asked": asked, "_edge": F.coalesce(edge, F.lit(False))}).where(F.col("_asked").isNotNull())
+    most = max(quota.values())
+    first = diverse_rank(rows.where("_edge"), [by], text, row, seed, "_n").where(F.col("_n") <= most)
+    first = first.where(F.col("_n") <= F.bround(F.col("_asked") * edge_share, 0)).drop("_n")
+    counts = first.groupBy(by).agg(F.count(F.lit(1)).alias("_had"))
+    rest = rows.join(first.select(row), row, "left_anti")
+    rest = diverse_rank(rest, [by], text, row, f"{seed}+1", "_n").where(F.col("_n") <= most)
+    rest = rest.join(F.broadcast(counts), by, "left").where(F.col("_n") <= F.col("_asked") - F.coalesce("_had", F.lit(0))).drop("_n", "_had")
+    return first.unionByName(rest).drop("_asked", "_edge")
+
+
+def provenance(labels: DataFrame, candidates: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """key, outcome of every labelled key: how its label and its candidate go together.
+
+    ``duplicate_label`` and ``duplicate_candidate`` stand for keys with differing rows,
+    ``no_candidate`` for labels without one, ``differs`` where a field is not the same.
+    """
+    body = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("\x00")).alias(f) for f in fields])), 256)
+    side = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(body).alias(f"{n}_n"), F.min(body).alias(f"{n}_body"))
+    both = side(labels, "l").join(side(candidates, "c"), key, "left")
+    outcome = F.when(F.col("c_n").isNull(), "no_candidate").when(F.col("l_n") > 1, "duplicate_label").when(F.col("c_n") > 1, "duplicate_candidate").when(F.col("l_body") != F.col("c_body"), "differs").otherwise("agrees")
+    return both.select(key, outcome.alias("outcome"))
+
+
+def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
+    """equal, only_a, only_b of the distinct rows of two one-column frames."""
+    left = a.distinct().toDF("x").withColumn("in_a", F.lit(1))
+    both = left.join(b.distinct().toDF("y").withColumn("in_b", F.lit(1)), F.col("x").eqNullSafe(F.col("y")), "full_outer")
+    only_a, only_b = F.count_if(F.col("in_b").isNull()), F.count_if(F.col("in_a").isNull())
+    return both.agg((only_a + only_b == 0).alias("equal"), only_a.alias("only_a"), only_b.alias("only_b"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions import names as N
 from apothecary.functions.text import normalize_ndc, strip
 from apothecary.operators import graph, market, modeling, resolve
-from apothecary.session import materialise
+from apothecary.session import materialise, scratch
 from apothecary.sources.tables import table
 
 QUERIES: dict = {}
@@ -187,10 +189,7 @@ _INGR = f"""ingredients as (select distinct product_id, {N.sql_words('a.name')}
 @query(f"""with c as (select {_KEY} as norm, labeler_name as name, count(*) as n, min(product_id) as first from ndc where {_KEY} is not null group by 1, 2)
 select norm, name, cast(spellings as bigint) as spellings from (select *, row_number() over (partition by norm order by n desc, first) as r, count(*) over (partition by norm) as spellings from c) where r = 1""")
 def preferred_display_name(spark, d):
-    df = table(spark, d, "ndc")
-    each = df.select(N.display_key(F.col("labeler_name")).alias("norm"), F.col("labeler_name").alias("name"), "product_id").where(F.col("norm").isNotNull())
-    counted = each.groupBy("norm", "name").agg(F.count(F.lit(1)).alias("n"), F.min("product_id").alias("first"))
-    return counted.groupBy("norm").agg(F.min_by("name", F.struct((-F.col("n")).alias("n"), F.col("first"))).alias("name"), F.count(F.lit(1)).alias("spellings"))
+    return graph.display_names(table(spark, d, "ndc"), "labeler_name", F.col("product_id"))
 
 
 @query(f"select row_number() over (order by maker) as maker_id, maker from (select distinct {_KEY} as maker from ndc) where maker is not null")
@@ -268,6 +267,23 @@ def integrity_violations(spark, d):
     return graph.repeats(products, ["product_id"], "duplicate_product").unionByName(none).unionByName(links).unionByName(graph.repeats(graph.product_codes(df), ["code"], "code_of_two_products"))
 
 
+@query(f"""with {_IDENT}, {_SHORT}, {_PRODUCTS}, {_INGR}, {_CODES}, {_LINKS}, {_MEMBERS},
+apps as (select {_APP.format(c='application_number')} as a from ndc union select {_APP.format(c='application_number')} from drugsfda)
+select 'products' as entity, count(*) as n from products union all select 'makers', count(distinct maker) from products union all select 'ingredients', count(distinct ingredient) from ingredients
+union all select 'product_ingredients', count(*) from ingredients union all select 'product_codes', count(*) from codes union all select 'applications', count(*) from apps where a is not null
+union all select 'routes', count(*) from (select distinct product_id, {N.sql_words('r')} as r from (select product_id, unnest(route) as r from ndc where product_id is not null)) where r is not null
+union all select 'packages', count(*) from (select distinct product_id, {N.sql_ndc('p.package_ndc')} as c from (select product_id, unnest(packaging) as p from ndc where product_id is not null)) where c is not null
+union all select 'equivalence_members', count(*) from members union all select 'shortage_products', count(*) from resolved where product_id is not null union all select 'recall_products', count(*) from links""")
+def graph_tables(spark, d):
+    """Rows of each table of the graph after it was written, checked, published and read back."""
+    ndc = table(spark, d, "ndc")
+    path = scratch(spark, "graph")
+    graph.publish(graph.tables(ndc, table(spark, d, "drugsfda"), _resolved(spark, d), _recall_links(spark, d)), path)
+    read = graph.read(spark, path)
+    parts = [df.agg(F.lit(name).alias("entity"), F.count(F.lit(1)).alias("n")) for name, df in read.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Traversal
 
 _STOPPED = f"""stopped as (select product_id, max(s) = 1 as in_shortage, max(r) = 1 as in_recall from (
@@ -340,6 +356,32 @@ def ingredient_name_lookup(spark, d):
     return rows.select("q", outcome.alias("outcome"), F.when(F.col("exact") > 0, F.col("q")).when(F.col("part") == 1, F.col("one")).alias("ingredient"))
 
 
+_NEEDLES = ("sodium", "potassium", "no such thing")
+_LIMIT = 25
+_ASKED = f"""needles as (select unnest({list(_NEEDLES)}) as q),
+found as (select distinct q, p.product_id from needles, (select * from products where finished) p left join ingredients i using (product_id) where contains(coalesce(generic, ''), q) or contains(coalesce(brand, ''), q) or contains(coalesce(ingredient, ''), q)),
+matched as (select q, product_id from (select *, row_number() over (partition by q order by product_id) as r from found) where r <= {_LIMIT}),
+others as (select distinct w.q, p.product_id, p.maker from (select distinct q, ingredient from matched join ingredients using (product_id)) w join ingredients i using (ingredient) join products p on p.product_id = i.product_id
+  where p.finished and p.maker is not null and not exists (select 1 from matched m join products o using (product_id) where m.q = w.q and o.maker = p.maker))"""
+
+
+@query(f"""with {_MARKET}, {_MEMBERS}, {_ASKED}, c as (select q, count(*) as alternative_products, count(distinct maker) as alternative_makers, count(*) filter (where in_shortage) as in_shortage, count(*) filter (where in_recall) as in_recall from others left join stopped using (product_id) group by q),
+e as (select q, count(*) as equivalents from (select distinct m.q, b.product_id from matched m join members a using (product_id) join members b on a.group_id = b.group_id where not exists (select 1 from matched x where x.q = m.q and x.product_id = b.product_id)) group by q)
+select q, (select count(*) from matched m where m.q = a.q) as matched, coalesce(alternative_products, 0) as alternative_products, coalesce(alternative_makers, 0) as alternative_makers, coalesce(in_shortage, 0) as in_shortage, coalesce(in_recall, 0) as in_recall, coalesce(equivalents, 0) as equivalents
+from needles a left join c using (q) left join e using (q)""")
+def drug_report(spark, d):
+    products, ingredients, stopped = _market(spark, d)
+    needles = spark.createDataFrame([(q,) for q in _NEEDLES], "q string")
+    return market.drug_report(needles, products, ingredients, stopped, graph.equivalence_members(table(spark, d, "ndc")), _LIMIT)
+
+
+@query(f"""with {_MARKET}, {_ASKED}, one as (select q, maker, product_id, coalesce(in_recall, false) as r, coalesce(in_shortage, false) as s, row_number() over (partition by q, maker order by coalesce(in_recall, false) desc, coalesce(in_shortage, false) desc, product_id) as k from others left join stopped using (product_id))
+select q, place, product_id, maker from (select *, cast(row_number() over (partition by q order by r desc, s desc, product_id) as int) as place from one where k = 1) where place <= {_LIMIT}""")
+def drug_alternatives(spark, d):
+    products, ingredients, stopped = _market(spark, d)
+    return market.drug_alternatives(spark.createDataFrame([(q,) for q in _NEEDLES], "q string"), products, ingredients, stopped, _LIMIT)
+
+
 _DAY = SQL["multi_format_dates"].split("select row_id, ")[1].split(" as day")[0]
 
 

@@ -62,10 +62,28 @@ def classifier_confusion(spark, d):
     return classify.classify(rows, F.col("raw_text")).groupBy("label", "cause").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_sql_classified('recalls', 'reason_for_recall', 'row_id')}, p as (select list_transform(m, lambda x: x.c) as c from classified where len(m) > 1)
-select a, b, count(*) as n from (select c[i] as a, c[j] as b from (select c, i, unnest(range(i + 1, len(c) + 1)) as j from (select c, unnest(range(1, len(c))) as i from p))) group by a, b""")
+#: A reason with the name of its label: where the two speak of different categories, they meet.
+_TOLD = "select distinct candidate_id, concat_ws(' ', raw_text, replace(event.primary_cause, '_', ' ')) as told from phase12_examples"
+_MET = """p as (select *, list_transform(m, lambda x: x.c) as c from classified where len(m) > 1), pairs as (select candidate_id, told, c[i] as a, c[j] as b from (select *, unnest(range(i + 1, len(c) + 1)) as j from (select *, unnest(range(1, len(c))) as i from p)))"""
+
+
+def _met(spark, d) -> DataFrame:
+    rows = table(spark, d, "phase12_examples").select("candidate_id", F.concat_ws(" ", "raw_text", F.replace("event.primary_cause", F.lit("_"), F.lit(" "))).alias("told")).distinct()
+    return classify.classify(spread(rows), F.col("told"))
+
+
+@query(f"with src as ({_TOLD}), {_sql_classified('src', 'told', 'candidate_id, told')}, {_MET} select a, b, count(*) as n from pairs group by a, b")
 def collision_pairs(spark, d):
-    return classify.collision_pairs(classify.classify(spread(table(spark, d, "recalls").select("reason_for_recall")), F.col("reason_for_recall")))
+    return classify.collision_pairs(_met(spark, d))
+
+
+@query(f"""with src as ({_TOLD}), {_sql_classified('src', 'told', 'candidate_id, told')}, {_MET}
+select a, b, told, n from (select *, row_number() over (partition by a, b order by n desc, first) as r from (select a, b, told, count(*) as n, min(candidate_id) as first from pairs group by all)) where r <= 3""")
+def collision_examples(spark, d):
+    """The three most frequent texts of each pair of categories, the first seen on ties: a report by definition."""
+    counts = classify.pairs_of(_met(spark, d), "candidate_id", "told").groupBy("a", "b", "told").agg(F.count(F.lit(1)).alias("n"), F.min("candidate_id").alias("first"))
+    w = Window.partitionBy("a", "b").orderBy(F.desc("n"), "first")
+    return counts.withColumn("r", F.row_number().over(w)).where("r <= 3").select("a", "b", "told", "n")
 
 
 @query(f"""with src as (select row_id, {N.sql_reason('reason_for_recall')} as text, reason_for_recall from recalls), {_sql_classified('src', 'reason_for_recall', 'row_id, text')}
@@ -193,12 +211,16 @@ def quarantine_gold_connected(spark, d):
     return rest.join(gold, "label", "left_anti").select("candidate_id")
 
 
-@query("""with l as (select candidate_id, arg_min(event.primary_cause, snapshot) as cause from phase12_examples where event.primary_cause is not null group by 1), p as (select distinct candidate_id, event.primary_cause as guess, source from phase11_examples)
-select source as "by", count(*) as records, count(*) filter (where guess is not distinct from cause) as correct, round(100.0 * count(*) filter (where guess is not distinct from cause) / count(*), 4) as pct from p join l using (candidate_id) group by source""")
+@query("""with l as (select reason_text_id, arg_min(event.primary_cause, {'s': snapshot, 'c': event.primary_cause}) as cause from phase11_examples where annotation_origin = 'gold' and event.primary_cause is not null and reason_text_id is not null group by 1),
+p as (select distinct candidate_id, reason_text_id, event.primary_cause as guess, source from phase11_examples where annotation_origin <> 'gold')
+select source as "by", count(*) as records, count(*) filter (where guess is not distinct from cause) as correct, round(100.0 * count(*) filter (where guess is not distinct from cause) / count(*), 4) as pct from p join l using (reason_text_id) group by source""")
 def prediction_compare(spark, d):
-    labels = table(spark, d, "phase12_examples").where(F.col("event.primary_cause").isNotNull()).groupBy("candidate_id").agg(F.min_by("event.primary_cause", "snapshot").alias("cause"))
-    guesses = table(spark, d, "phase11_examples").select("candidate_id", F.col("event.primary_cause").alias("guess"), "source").distinct()
-    return modeling.agreement(guesses.join(labels, "candidate_id"), F.col("cause"), F.col("guess"), F.col("source"))
+    """Labels of teachers against the gold label of the same text."""
+    rows = table(spark, d, "phase11_examples").withColumn("cause", F.col("event.primary_cause"))
+    gold = F.col("annotation_origin") == "gold"
+    labels = rows.where(gold & F.col("cause").isNotNull() & F.col("reason_text_id").isNotNull()).groupBy("reason_text_id").agg(F.min_by("cause", F.struct("snapshot", "cause")).alias("cause"))
+    guesses = rows.where(~gold).select("candidate_id", "reason_text_id", F.col("cause").alias("guess"), "source").distinct()
+    return modeling.agreement(guesses.join(labels, "reason_text_id"), F.col("cause"), F.col("guess"), F.col("source"))
 
 
 @query(f"""with src as (select candidate_id, raw_text, event.primary_cause as label from phase12_examples), {_sql_classified('src', 'raw_text', 'candidate_id, label')}
@@ -231,21 +253,23 @@ def fewshot_leakage_filter(spark, d):
     return out.join(held.select("reason_text_id").distinct(), "reason_text_id", "left_anti").select("candidate_id")
 
 
-@query("""select 'only_phase12' as kind, count(*) as n from (select candidate_id from phase12_examples except select candidate_id from phase11_examples)
-union all select 'only_phase11', count(*) from (select candidate_id from phase11_examples except select candidate_id from phase12_examples)
-union all select 'both', count(*) from (select candidate_id from phase12_examples intersect select candidate_id from phase11_examples)""")
+@query("""select 'only_phase12' as kind, count(*) as n from (select incident_id from phase12_examples except select incident_id from phase11_examples)
+union all select 'only_phase11', count(*) from (select incident_id from phase11_examples except select incident_id from phase12_examples)
+union all select 'both', count(*) from (select incident_id from phase12_examples intersect select incident_id from phase11_examples)""")
 def key_set_ops(spark, d):
-    a, b = (table(spark, d, t).select("candidate_id") for t in ("phase12_examples", "phase11_examples"))
+    a, b = (table(spark, d, t).select("incident_id") for t in ("phase12_examples", "phase11_examples"))
     n = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
     return n(a.subtract(b), "only_phase12").unionByName(n(b.subtract(a), "only_phase11")).unionByName(n(a.intersect(b), "both"))
 
 
-@query("""with u as (select candidate_id, event.primary_cause as cause, snapshot, 1 as prio from phase12_examples union all select candidate_id, event.primary_cause, snapshot, 2 from phase11_examples)
-select candidate_id, arg_min({'c': cause}, {'p': prio, 's': snapshot, 'c': coalesce(cause, '')}).c as cause from u group by 1""")
+@query("""with u as (select reason_text_id, event.primary_cause as cause, candidate_id, case annotation_origin when 'gold' then 1 when 'teacher' then 2 else 3 end as prio from phase11_examples where reason_text_id is not null)
+select reason_text_id, arg_min({'c': cause}, {'p': prio, 's': coalesce(candidate_id, ''), 'c': coalesce(cause, '')}).c as cause, count(distinct cause) as causes from u group by 1""")
 def priority_merge(spark, d):
-    rows = [table(spark, d, t).select("candidate_id", F.col("event.primary_cause").alias("cause"), "snapshot", F.lit(p).alias("prio")) for p, t in ((1, "phase12_examples"), (2, "phase11_examples"))]
-    order = F.struct("prio", "snapshot", F.coalesce("cause", F.lit("")).alias("c"))
-    return rows[0].unionByName(rows[1]).groupBy("candidate_id").agg(F.min_by(F.struct("cause"), order).alias("m")).select("candidate_id", "m.cause")
+    """One label a text where sources disagree: gold before teacher before fixed rules."""
+    prio = F.when(F.col("annotation_origin") == "gold", 1).when(F.col("annotation_origin") == "teacher", 2).otherwise(3)
+    rows = table(spark, d, "phase11_examples").where(F.col("reason_text_id").isNotNull()).select("reason_text_id", F.col("event.primary_cause").alias("cause"), "candidate_id", prio.alias("prio"))
+    order = F.struct("prio", F.coalesce("candidate_id", F.lit("")).alias("s"), F.coalesce("cause", F.lit("")).alias("c"))
+    return rows.groupBy("reason_text_id").agg(F.min_by(F.struct("cause"), order).alias("m"), F.countDistinct("cause").alias("causes")).select("reason_text_id", "m.cause", "causes")
 
 
 @query("""with a as (select distinct candidate_id, taxonomy_version, event.severity as severity, raw_text from phase12_examples)

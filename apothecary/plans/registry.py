@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from apothecary.plans import core_problems, feeds, modeling, streams
+from apothecary.plans import core_problems, feeds, labels, modeling, streams
 
-MODULES = (core_problems, feeds, modeling, streams)
+MODULES = (core_problems, feeds, modeling, labels, streams)
 FLAGSHIP = "available_manufacturers"
 
 
