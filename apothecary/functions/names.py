@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import unicodedata
+from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,17 +20,38 @@ LEGAL_FORMS = (
 REASON_MISSING = "[fda reason missing]"
 
 
-def _latin() -> tuple[str, str]:
-    """Accented Latin letters and the ASCII letters they decompose to, by rule."""
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for i in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@lru_cache
+def _forms(fold: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """By rule, what other characters become: those that become one character, in two equal strings, and those that become several.
+
+    ``ascii`` decomposes and keeps ASCII only; ``text`` composes compatible forms and folds case.
+    """
+    one, several = [], []
+    for i in chain(range(0x80, 0xD800), range(0xF900, 0x10000), range(0x1D400, 0x1D800)):
+        c = chr(i)
+        to = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() if fold == "ascii" else unicodedata.normalize("NFKC", c).casefold()
+        if to == c or (fold == "ascii" and not to):
+            continue
+        if len(to) == 1:
+            one.append((c, to))
+        elif i < 0x10000:
+            several.append((c, to))
+    return "".join(c for c, _ in one), "".join(t for _, t in one), tuple(several)
+
+
+def _folded(c: Column, fold: str) -> Column:
+    """``c`` with other characters in their plain forms; plain ASCII is left as it is."""
+    source, target, several = _forms(fold)
+    # One literal, so that plans stay small.
+    apart = F.str_to_map(F.lit("\x01".join("\x02".join(kv) for kv in several)), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(apart, x), x)), "")
+    odd = "[" + "".join(f"\\x{{{ord(k):x}}}" for k, _ in several) + "]"
+    return F.when(F.length(c) == F.octet_length(c), c).when(c.rlike(odd), F.translate(spelled, source, target)).otherwise(F.translate(c, source, target))
 
 
 def words(c: Column) -> Column:
-    """Runs of a-z and 0-9, accents folded, ``&`` read as ``and``; joined by one blank, NULL if there are none."""
-    source, target = _latin()
-    ascii_only = F.regexp_replace(F.translate(c, source, target), r"[^\x00-\x7F]", "")
+    """Runs of a-z and 0-9, accents and compatible forms folded, ``&`` read as ``and``; joined by one blank, NULL if there are none."""
+    ascii_only = F.regexp_replace(_folded(c, "ascii"), r"[^\x00-\x7F]", "")
     spelled = F.replace(F.lower(ascii_only), F.lit("&"), F.lit(" and "))
     return F.nullif(F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " ")), F.lit(""))
 
@@ -63,8 +86,11 @@ def product_of_package(c: Column) -> Column:
 
 
 def reason_text(c: Column) -> Column:
-    """Lower case with single blanks; a fixed placeholder for NULL and blank."""
-    plain = F.lower(strip(F.regexp_replace(c, r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")))
+    """Compatible forms and case folded, single blanks; a fixed placeholder for NULL and blank.
+
+    Accents that stand apart from their letters stay apart.
+    """
+    plain = F.lower(strip(F.regexp_replace(_folded(c, "text"), r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")))
     return F.when(is_blank(c), REASON_MISSING).otherwise(plain)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apothecary.functions.text import strip
+
 # Category, rule, weight and pattern of each rule.
 RULES = (
     ("inactive_ingredient_shortage", "inactive_ingredient_shortage", 1.0, r"shortage of (?:an )?inactive ingredient(?: component)?|inactive ingredient shortage|excipient shortage"),
@@ -88,7 +90,7 @@ def events(df: DataFrame) -> DataFrame:
     others = F.transform(F.filter(F.split("matched", r"\|"), lambda m: (m != "") & (m != F.col("cause"))), lambda m: F.concat(F.lit("also_matched:"), m))
     secondary = F.when(F.col("is_recall") & (F.col("cause") != "recall"), F.concat(others, F.array(F.lit("recall_event")))).otherwise(others)
     field = F.when(F.col("is_recall"), "FDA reason_for_recall: ").otherwise("FDA shortage_reason: ")
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = strip(F.coalesce("text", F.lit("")))
     told = [F.concat(field, F.when(text != "", text).otherwise("not supplied"))]
     told += [F.when(_filled(F.col(c)), F.concat(F.lit(f"FDA {c}: "), F.col(c))) for c in ("classification", "status", "availability")]
     evidence = F.filter(F.array(*told), lambda x: x.isNotNull())

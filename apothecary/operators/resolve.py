@@ -15,13 +15,15 @@ TEXT_CODE = r"(?i)\b(?:NDC\s*[:#]?\s*)?(\d{4,5}-\d{3,4}-\d{1,2})\b"
 
 def directory_keys(ndc: DataFrame) -> DataFrame:
     """kind (package or product), code, and the identity each code leads to."""
-    identity = F.struct(
-        F.coalesce(F.col("brand_name"), F.lit("")).alias("brand"),
-        F.coalesce(F.size("active_ingredients"), F.lit(0)).alias("n_ingredients"),
-        F.coalesce("product_id", F.lit("")).alias("product_id"),
-        words(F.col("generic_name")).alias("generic"),
-        normalize_manufacturer(F.col("labeler_name")).alias("maker"),
-    )
+    fields = {
+        "brand": F.coalesce(F.col("brand_name"), F.lit("")),
+        "n_ingredients": F.coalesce(F.size("active_ingredients"), F.lit(0)),
+        "product_id": F.coalesce("product_id", F.lit("")),
+        "generic": words(F.col("generic_name")),
+        "maker": normalize_manufacturer(F.col("labeler_name")),
+    }
+    # Names are stated: aliases inside a struct are lost where it also holds functions of elements.
+    identity = F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
     product = ndc.select(F.lit("product").alias("kind"), product_of_package(F.col("product_ndc")).alias("code"), identity.alias("identity"))
     package = ndc.select(F.explode("packaging").alias("p"), identity.alias("identity")).select(F.lit("package").alias("kind"), normalize_ndc(F.col("p.package_ndc")).alias("code"), "identity")
     return product.unionByName(package).where(F.col("code").isNotNull())

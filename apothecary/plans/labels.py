@@ -60,7 +60,7 @@ _SEVERITY = """case when is_recall then case lower(trim(coalesce(classification,
 @query(f"""with {_SRC}, {_sql_classified('src', 'text', 'feed, row_id, is_recall, text, classification, availability, status')}
 select feed, row_id, cause, confidence, {_STAGE} as stage, {_SEVERITY} as severity, len(m) = 0 as fallback,
   array_to_string(list_concat(list_transform(list_filter(m, lambda x: x.c <> cause), lambda x: 'also_matched:' || x.c), case when is_recall then ['recall_event'] else [] end), '|') as secondary,
-  array_to_string(list_filter([case when is_recall then 'FDA reason_for_recall: ' else 'FDA shortage_reason: ' end || case when trim(coalesce(text, '')) = '' then 'not supplied' else trim(text) end,
+  array_to_string(list_filter([case when is_recall then 'FDA reason_for_recall: ' else 'FDA shortage_reason: ' end || case when coalesce({N.sql_strip('text')}, '') = '' then 'not supplied' else {N.sql_strip('text')} end,
     case when classification <> '' then 'FDA classification: ' || classification end, case when status <> '' then 'FDA status: ' || status end, case when availability <> '' then 'FDA availability: ' || availability end], lambda x: x is not null), '|') as evidence from classified""")
 def classify_records(spark, d):
     out = classify.events(_records(spark, d))
