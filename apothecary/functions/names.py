@@ -44,9 +44,10 @@ def _folded(c: Column, fold: str) -> Column:
     source, target, several = _forms(fold)
     # One literal, so that plans stay small.
     apart = F.str_to_map(F.lit("\x01".join("\x02".join(kv) for kv in several)), F.lit("\x01"), F.lit("\x02"))
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(apart, x), x)), "")
-    odd = "[" + "".join(f"\\x{{{ord(k):x}}}" for k, _ in several) + "]"
-    return F.when(F.length(c) == F.octet_length(c), c).when(c.rlike(odd), F.translate(spelled, source, target)).otherwise(F.translate(c, source, target))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.octet_length(x) == 1, x).otherwise(F.coalesce(F.element_at(apart, x), x))), "")
+    # Looked up by character, unlike a pattern of so many; most texts hold none of them.
+    odd = F.length(F.translate(c, "".join(k for k, _ in several), "")) < F.length(c)
+    return F.when(F.length(c) == F.octet_length(c), c).when(odd, F.translate(spelled, source, target)).otherwise(F.translate(c, source, target))
 
 
 def words(c: Column) -> Column:

@@ -293,9 +293,11 @@ _MARKET = f"{_IDENT}, {_SHORT}, {_LINKS}, {_PRODUCTS}, {_INGR}, {_STOPPED}"
 
 
 def _stopped(spark, d) -> DataFrame:
-    short = _resolved(spark, d).join(_latest(spark, d, "shortages").where(market.has_status("status", "current")).select("row_id"), "row_id")
-    recalled = _recall_links(spark, d).join(_latest(spark, d, "recalls").where(market.has_status("status", "ongoing")).select("row_id"), "row_id")
-    return market.blocked(short, recalled)
+    """Products under a current shortage or an ongoing recall: rows are filtered first, then resolved, each feed read once."""
+    ndc = table(spark, d, "ndc")
+    current = _latest(spark, d, "shortages").where(market.has_status("status", "current"))
+    ongoing = _latest(spark, d, "recalls").where(market.has_status("status", "ongoing"))
+    return market.blocked(resolve.waterfall(current, resolve.shortage_tiers(), resolve.directory_keys(ndc)), resolve.recall_links(ongoing, ndc))
 
 
 def _market(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
