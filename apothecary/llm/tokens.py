@@ -14,10 +14,12 @@ from collections.abc import Iterator
 from types import ModuleType
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of the public vocabularies; a parameter of every operator.
+#: Folder of the public vocabularies; a parameter of every operator. Where a node lacks the file, the
+#: one of the same name is taken that was sent with the job (``SparkContext.addFile``).
 VOCABULARIES = os.environ.get("APOTHECARY_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = "byte_bpe_50k.json"
 CHARS_AT_ONCE = 200_000
@@ -30,7 +32,7 @@ def load(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         tokenizer.encode_special_tokens = True
         kept[path] = tokenizer
     return kept[path]

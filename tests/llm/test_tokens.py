@@ -49,3 +49,9 @@ def test_byte_table_and_empty(spark):
     table = K.byte_table()
     assert len(table) == 256 and sorted(table.values()) == list(range(256))
     assert K.encode(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
+
+
+def test_vocabulary_sent_with_the_job(spark):
+    spark.sparkContext.addFile(PATH)
+    sent = K.encode(frame(spark), "doc_id", "text", f"/no/such/folder/{K.BYTE_BPE}")
+    assert {r["doc_id"]: r["ids"] for r in sent.collect()} == {r["doc_id"]: r["ids"] for r in K.encode(frame(spark), "doc_id", "text").collect()}
