@@ -110,15 +110,24 @@ def holdout_sizes(sizes: dict[str, int], total: int, share: float, cover: set[st
     """How many rows of each class are held out: ``total`` in all, one at least of each class in ``cover``, one left of every class.
 
     Each next row goes to the class that is furthest below its share; larger and later-named
-    classes win ties. The bulk is given at once, so the work depends on the number of classes only.
+    classes win ties, also where ``total`` does not cover every class. The bulk is given at
+    once, so the work depends on the number of classes only. Where too few rows are left, all that may go are held out.
     """
-    out = {c: max(int(c in cover), min(n - 1, math.floor(share * n) - 1), 0) for c, n in sizes.items()}
-    if sum(out.values()) > total:
-        raise ValueError("the held-out total does not cover every class")
+    first = sorted((c for c in sizes if c in cover), key=lambda c: (sizes[c], c), reverse=True)[:total]
+    given = lambda level: {c: max(int(c in first), min(n - 1, math.floor(share * n) - level), 0) for c, n in sizes.items()}
+    low, high = 0, max(sizes.values(), default=0) + 1
+    while low < high:
+        middle = (low + high) // 2
+        if sum(given(middle).values()) <= total:
+            high = middle
+        else:
+            low = middle + 1
+    # One level more than fits, since shares are not whole: the last rows are given one by one.
+    out = given(low + 1)
     for _ in range(total - sum(out.values())):
         open_ = [c for c, n in sizes.items() if out[c] < n - 1]
         if not open_:
-            raise ValueError("not enough rows to hold out")
+            break
         out[max(open_, key=lambda c: (share * sizes[c] - out[c], sizes[c], c))] += 1
     return out
 

@@ -301,9 +301,9 @@ def distillation_pool(spark, d):
 
 
 @query("""with e as (select distinct candidate_id, event.primary_cause as label from phase12_examples where event.primary_cause is not null), s as (select label, count(*) as n from e group by 1), total as (select cast(round_even(sum(n) * 0.15, 0) as bigint) as t from s),
-v1 as (select label, n, case when n >= 3 then 1 else 0 end as r from s), slots1 as (select label, n, r, unnest(range(r + 1, n)) as k from v1),
+v1 as (select label, n, case when n >= 3 and row_number() over (order by n >= 3 desc, n desc, label desc) <= (select t from total) then 1 else 0 end as r from s), slots1 as (select label, n, r, unnest(range(r + 1, n)) as k from v1),
 v as (select label, count(*) as extra from (select label from slots1 order by 0.15 * n - (k - 1) desc, n desc, label desc limit (select t - (select sum(r) from v1) from total)) group by label),
-val as (select v1.label, n, r + coalesce(extra, 0) as v from v1 left join v using (label)), t1 as (select label, n - v as n, case when n >= 3 then 1 else 0 end as r from val), slots2 as (select label, n, r, unnest(range(r + 1, n)) as k from t1),
+val as (select v1.label, n, r + coalesce(extra, 0) as v from v1 left join v using (label)), t1 as (select label, n - v as n, case when n >= 3 and row_number() over (order by n >= 3 desc, n - v desc, label desc) <= (select t from total) then 1 else 0 end as r from val), slots2 as (select label, n, r, unnest(range(r + 1, n)) as k from t1),
 t as (select label, count(*) as extra from (select label from slots2 order by 0.15 * n - (k - 1) desc, n desc, label desc limit (select t - (select sum(r) from t1) from total)) group by label),
 c as (select val.label, v, r + coalesce(extra, 0) as t from val join t1 using (label) left join t using (label)), ranked as (select candidate_id, label, row_number() over (partition by label order by sha256('seed|' || candidate_id), candidate_id) as r from e)
 select candidate_id, label, case when r <= v then 'validation' when r <= v + t then 'test' else 'train' end as split from ranked join c using (label)""")

@@ -78,18 +78,17 @@ def test_as_of():
 
 def test_holdouts_are_exact():
     rng = random.Random(2)
-    for _ in range(60):
-        sizes = {f"c{k}": rng.randrange(1, 400) for k in range(rng.randrange(2, 9))}
+    for k in range(200):
+        sizes = {f"c{k}": rng.choice([rng.randrange(1, 6), rng.randrange(1, 400)]) for k in range(rng.randrange(2, 13))}
         cover = {c for c, n in sizes.items() if n >= 3}
         total = round(sum(sizes.values()) * 0.15)
-        if total < len(cover) or sum(n - 1 for n in sizes.values()) < total:
-            continue
-        want = {c: int(c in cover) for c in sizes}
+        want = {c: int(c in sorted(cover, key=lambda c: (sizes[c], c), reverse=True)[:total]) for c in sizes}
         for _ in range(total - sum(want.values())):
-            want[max((c for c, n in sizes.items() if want[c] < n - 1), key=lambda c: (0.15 * sizes[c] - want[c], sizes[c], c))] += 1
+            if rest := [c for c, n in sizes.items() if want[c] < n - 1]:
+                want[max(rest, key=lambda c: (0.15 * sizes[c] - want[c], sizes[c], c))] += 1
         assert modeling.holdout_sizes(sizes, total, 0.15, cover) == want
-    with pytest.raises(ValueError):
-        modeling.holdout_sizes({"a": 3, "b": 3}, 1, 0.15, {"a", "b"})
+    assert modeling.holdout_sizes({"a": 3, "b": 3}, 1, 0.15, {"a", "b"}) == {"a": 0, "b": 1}
+    assert modeling.holdout_sizes({}, 0, 0.15, set()) == {} and modeling.holdout_sizes({"a": 1}, 1, 0.15, set()) == {"a": 0}
 
 
 def test_exact_split(spark):
