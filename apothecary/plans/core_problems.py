@@ -132,7 +132,45 @@ pairs as (select n.feed, n.snapshot, n.k, o.a as oa, n.a as na, o.b as ob, n.b a
 select feed, snapshot, k as record_key, 'status' as field, oa as old_value, na as new_value from pairs where lower({N.sql_strip('oa')}) is distinct from lower({N.sql_strip('na')})
 union all select feed, snapshot, k, case when feed = 'recalls' then 'classification' else 'availability' end, ob, nb from pairs where lower({N.sql_strip('ob')}) is distinct from lower({N.sql_strip('nb')})"""
 
+_CLOCK = r"(?:(?:[T ]|, ?| +)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([ap])\.?m\b\.?)?(?: ?(Z|[+-]\d{2}:?\d{2}|[+-]\d{2}|[a-z]{2,5}|[a-z]+(?:/[a-z_+-]+)+))?)?"
+_MONTH = r"((?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|may|jun|jul|aug|sept|sep|oct|nov|dec)\.?)"
+#: Format, date pattern and what its groups are. Two patterns share a name where only the separator differs.
+_SHAPES = (
+    ("iso", r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})", "ymd"), ("month_first", r"(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})", "mdy"), ("month_first", r"(\d{1,2})-(\d{1,2})-(\d{4}|\d{2})", "mdy"),
+    ("day_first", r"(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})", "dmy"), ("day_month_name", rf"(?:[a-z]{{3,9}}, ?)?(\d{{1,2}})[ -]{_MONTH}[ -](\d{{4}}|\d{{2}})", "dmy"), ("month_name_day", rf"(?:[a-z]{{3,9}}, ?)?{_MONTH} (\d{{1,2}}),? (\d{{4}})", "mdy"),
+)
+_PARTS = "{{'f': '{f}', 'y': x.y, 'm': x.m, 'd': x.d, 'h': x.h, 'mi': x.mi, 's': x.s, 'u': x.u, 'ap': x.ap, 'z': x.z}}"
+
+
+def _shape(name: str, pattern: str, order: str) -> str:
+    groups = ", ".join(f"'{c}'" for c in (*order, "h", "mi", "s", "u", "ap", "z"))
+    return f"when regexp_matches(v, '(?i)^{pattern}{_CLOCK}$') then list_transform([regexp_extract(v, '(?i)^{pattern}{_CLOCK}$', [{groups}])], lambda x: {_PARTS.format(f=name)})[1]"
+
+
+_COMPACT_SQL = r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:?\d{2})?)?$"
+_INSTANTS = f"""with v as (select feed, row_id, trim(regexp_replace(value, '\\s+', ' ', 'g')) as v from (select 'recalls' as feed, row_id, recall_initiation_date as value from recalls union all select 'shortages', row_id, initial_posting_date from shortages)),
+p as (select feed, row_id, v, case when regexp_matches(v, '^(\\d{{10}}|\\d{{13}})$') then null
+  when regexp_matches(v, '{_COMPACT_SQL}') then list_transform([regexp_extract(v, '{_COMPACT_SQL}', ['y', 'm', 'd', 'h', 'mi', 's', 'u', 'z'])], lambda x: {_PARTS.format(f='compact').replace('x.ap', "''")})[1]
+  {' '.join(_shape(*x) for x in _SHAPES)} end as x from v),
+q as (select feed, row_id, v, x.f as f, x.z as z, lower(x.ap) as ap, try_cast(x.h as int) as h, coalesce(try_cast(nullif(x.mi, '') as int), 0) as mi, coalesce(try_cast(nullif(x.s, '') as int), 0) as s, cast(rpad(substr(x.u, 1, 6), 6, '0') as bigint) as u, x.h <> '' as timed,
+  try_cast(case when length(x.y) = 2 then '20' || x.y else x.y end || '-' || lpad(case when regexp_matches(x.m, '^\\d') then x.m else cast((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr(x.m, 1, 3))) + 2) // 3 as varchar) end, 2, '0') || '-' || lpad(x.d, 2, '0') as date) as day from p),
+w as (select *, case when ap = '' then h when h between 1 and 12 then h % 12 + case when ap = 'p' then 12 else 0 end end as hh from q),
+c as (select feed, row_id, v, f, z, case when day is null then null when not timed then epoch_us(day::timestamp) when hh between 0 and 23 and mi <= 59 and s <= 59 then epoch_us(day::timestamp) + ((hh * 60 + mi) * 60 + s)::bigint * 1000000 + u end as wall,
+  case upper(z) when 'Z' then 0 when 'UT' then 0 when 'UTC' then 0 when 'GMT' then 0 when 'EST' then -300 when 'EDT' then -240 when 'CST' then -360 when 'CDT' then -300 when 'MST' then -420 when 'MDT' then -360 when 'PST' then -480 when 'PDT' then -420 when 'CET' then 60 when 'CEST' then 120 else
+  case when regexp_matches(z, '^[+-]') and cast(substr(regexp_replace(z, '[^0-9]', '', 'g'), 1, 2) as int) <= 18 and coalesce(try_cast(substr(regexp_replace(z, '[^0-9]', '', 'g'), 3, 2) as int), 0) <= 59 then
+    case when starts_with(z, '-') then -1 else 1 end * (cast(substr(regexp_replace(z, '[^0-9]', '', 'g'), 1, 2) as int) * 60 + coalesce(try_cast(substr(regexp_replace(z, '[^0-9]', '', 'g'), 3, 2) as int), 0)) end end as fixed,
+  case when z = '' then 'America/New_York' when contains(z, '/') and z in (select name from pg_timezone_names()) then z end as zone from w),
+o as (select *, case when zone is not null and wall is not null then wall - (epoch_us((make_timestamp(wall - 86400000000) at time zone 'UTC') at time zone zone) - (wall - 86400000000)) end as a,
+  case when zone is not null and wall is not null then wall - (epoch_us((make_timestamp(wall + 86400000000) at time zone 'UTC') at time zone zone) - (wall + 86400000000)) end as b from c),
+k as (select *, epoch_us((make_timestamp(a) at time zone 'UTC') at time zone zone) = wall as fits_a, epoch_us((make_timestamp(b) at time zone 'UTC') at time zone zone) = wall as fits_b from o),
+instants as (select feed, row_id, case when regexp_matches(v, '^\\d{{10}}$') then 'epoch_s' when regexp_matches(v, '^\\d{{13}}$') then 'epoch_ms' else f end as format,
+  case when regexp_matches(v, '^\\d{{10}}$') then cast(v as bigint) * 1000000 when regexp_matches(v, '^\\d{{13}}$') then cast(v as bigint) * 1000 when fixed is not null then wall - fixed::bigint * 60000000
+    when fits_a and fits_b then least(a, b) when fits_b and not fits_a then b else a end as us,
+  case when fixed is null and a <> b and fits_a and fits_b then 'ambiguous' when fixed is null and not fits_a and not fits_b then 'nonexistent' else 'plain' end as kind from k)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"{_INSTANTS} select feed, row_id, us as utc_us from instants where us is not null",
+    "p4_formats": f"{_INSTANTS} select feed, case when us is not null then format end as format, case when us is null then 'plain' else kind end as instant_case, count(*) as n from instants group by all",
     "p2_field_changes": _FIELD_CHANGES, "p2_found": _CHANGES, 
     "p7_found": _nested_sql("select distinct feed, record_id, path, pos, sub_pos from places"),
     "p7_flat": _nested_sql("select feed, record_id, path, pos, sub_pos, parent_id, object_id, body from places"),
