@@ -94,6 +94,11 @@ def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
     return _tokens.encode_offsets(_documents(spark, d), "doc_id", "text")
 
 
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each document that its tokens cover: all of them, in code points."""
+    return _tokens.covered(p8_offsets(spark, d), "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _leakage.find(_documents(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -112,7 +117,7 @@ def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _languages.find(_documents(spark, d, "lang"))
 
 
-_ALL = (p1_found, p1_splits, p1_split_checks, p3_found, p3_overlaps, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_near, p10_found, p10_confidence)
+_ALL = (p1_found, p1_splits, p1_split_checks, p3_found, p3_overlaps, p3_coverage, p3_report, p5_found, p5_matches, p6_found, p8_ids, p8_roundtrip, p8_offsets, p8_cover, p9_found, p9_near, p10_found, p10_confidence)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WS = r"\s"
@@ -149,4 +154,4 @@ select distinct doc_id, item_id from dg join ig using (g)"""
 
 _NO_VIOLATIONS = "select unnest(['set_in_two_splits', 'record_in_two_splits', 'record_without_split', 'label_off_its_share']) as rule, 0::bigint as violations"
 
-SQL: dict[str, str] = {"p1_found": _TIED, "p1_split_checks": _NO_VIOLATIONS, "p3_found": _OVERLAPS, "p3_overlaps": _OVERLAP_RECORDS, "p6_found": _COPIES, "p9_found": _LEAKS}
+SQL: dict[str, str] = {"p8_cover": "select doc_id, coalesce(length(text), 0)::bigint as chars from documents", "p1_found": _TIED, "p1_split_checks": _NO_VIOLATIONS, "p3_found": _OVERLAPS, "p3_overlaps": _OVERLAP_RECORDS, "p6_found": _COPIES, "p9_found": _LEAKS}

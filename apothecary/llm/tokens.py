@@ -100,6 +100,17 @@ def encode_offsets(df: DataFrame, id_col: str, text_col: str, path: str | None =
     return df.select(id_col, F.col(text_col)).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
 
 
+def covered(offsets: DataFrame, id_col: str) -> DataFrame:
+    """id_col and ``chars``: how many characters the ranges of all its tokens hold together, those of several tokens once.
+
+    Ranges come in order of the text, so one pass over them suffices; a gap counts as not covered.
+    """
+    ranges = F.arrays_zip("starts", "ends")
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("chars"))
+    step = lambda a, r: F.struct(F.greatest(a["upto"], r["ends"]).alias("upto"), (a["chars"] + F.greatest(F.lit(0), r["ends"] - F.greatest(a["upto"], r["starts"]))).alias("chars"))
+    return offsets.select(id_col, F.aggregate(ranges, start, step, lambda a: a["chars"]).cast("bigint").alias("chars"))
+
+
 def decode(df: DataFrame, id_col: str, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """id_col and the ``text`` its ids stand for."""
     path = path or f"{VOCABULARIES}/{BYTE_BPE}"

@@ -51,6 +51,13 @@ def test_byte_table_and_empty(spark):
     assert K.encode(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
 
 
+def test_ranges_cover_the_text(spark):
+    got = {r["doc_id"]: r["chars"] for r in K.covered(K.encode_offsets(frame(spark), "doc_id", "text"), "doc_id").collect()}
+    assert got == {i: len(t or "") for i, t in enumerate(TEXTS)}
+    gaps = spark.createDataFrame([(1, [0, 3], [2, 5]), (2, [0, 0, 1], [1, 1, 4]), (3, [], [])], "k int, starts array<int>, ends array<int>")
+    assert {tuple(r) for r in K.covered(gaps, "k").collect()} == {(1, 4), (2, 4), (3, 0)}
+
+
 def test_vocabulary_sent_with_the_job(spark):
     spark.sparkContext.addFile(PATH)
     sent = K.encode(frame(spark), "doc_id", "text", f"/no/such/folder/{K.BYTE_BPE}")
