@@ -4,7 +4,7 @@ Equal word sequences become one class first. Two texts with three quarters of th
 words in common must share one of the first ``n - ceil(0.75 n) + 1`` words in a fixed
 order, rare ones first, whatever else differs: each class meets the others by these words
 alone. What a shared word still allows decides next: its places in both orders bound the
-words that can be shared, and so do the differing bits of two 256-bit word sums. A word
+words that can be shared, and so do the differing bits of two 128-bit word sums. A word
 that too many pairs share is keyed by the sizes its place allows as well. None of this
 loses a pair. For each candidate pair the shared words are counted exactly. Where coverage
 is asked for, five-word seeds that stand once in each text are chained collinearly and the
@@ -97,10 +97,11 @@ def keys(n: int, first: list[int]) -> list[dict]:
     return out
 
 
-def word_sum(hashes: np.ndarray) -> list[int]:
-    """256 bits, each the parity of the words that fall on it: as many differ at most as words do."""
-    bits = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def word_sum(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits, each the parity of the words that fall on it: as many differ at most as words do."""
+    bits = np.bincount((hashes & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    low, high = np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+    return low, high
 
 
 def align(a: list[str], b: list[str]) -> int:
@@ -182,30 +183,31 @@ def class_pairs(recs: DataFrame, hot_pairs: int = HOT_PAIRS, aligned: bool = Tru
                 bands.append(band(len(distinct)))
                 sums.append(word_sum(_hash(distinct)))
                 found.append(keys(len(distinct), _hash(prefix(distinct, often)).view(np.int64).tolist()))
-            cols = [b.column(0), pa.array(sizes, pa.int32()), pa.array(bands, pa.int32()), b.column(2), b.column(3), pa.array(sums, pa.list_(pa.int64())), pa.array(found, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["class", "size", "band", "t", "e", "sum", "keys"])
+            halves = [pa.array([s[k] for s in sums], pa.int64()) for k in (0, 1)]
+            cols = [b.column(0), pa.array(sizes, pa.int32()), pa.array(bands, pa.int32()), b.column(2), b.column(3), *halves, pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "size", "band", "t", "e", "s0", "s1", "keys"])
 
-    shape = "class string, size int, band int, t boolean, e boolean, sum array<bigint>, keys array<struct<w: bigint, at: int, low: int, high: int>>"
-    rows = classes.select("class", "words", "t", "e").mapInArrow(prefixes, shape)
+    shape = "id binary, size int, band int, t boolean, e boolean, s0 bigint, s1 bigint, keys array<struct<w: bigint, at: int, low: int, high: int>>"
+    rows = classes.select(F.unhex("class").alias("id"), "words", "t", "e").mapInArrow(prefixes, shape)
     rows = materialise(rows, "overlap-prefixes")
-    each = rows.select("class", "size", "band", "t", "e", "sum", F.inline("keys"))
+    each = rows.select("id", "size", "band", "t", "e", "s0", "s1", F.inline("keys"))
     counts = each.groupBy("w").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.count(F.lit(1)).alias("n"))
     counts = counts.where((F.col("nt") > 0) & (F.col("ne") > 0) & (F.col("n") > 1)).select("w", (F.col("nt") * F.col("ne") > hot_pairs).alias("hot"))
     both = each.join(counts, "w")
     # Cold words meet whatever the sizes; hot ones only in the bands of both sizes.
     to = F.explode(F.when(F.col("hot"), F.sequence("low", "high")).otherwise(F.array(F.lit(-1)))).alias("to")
-    keyed = both.select("w", "class", "size", "at", "sum", "t", "e", F.when(F.col("hot"), F.col("band")).otherwise(-1).alias("own"), to)
+    keyed = both.select("w", "id", "size", "at", "s0", "s1", "t", "e", F.when(F.col("hot"), F.col("band")).otherwise(-1).alias("own"), to)
     keyed = materialise(keyed, "overlap-keys")
-    side = lambda name, own, to: [F.col(own).alias("train_band"), F.col(to).alias("eval_band"), F.col("class").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "at", "sum")]]
+    side = lambda name, own, to: [F.col(own).alias("train_band"), F.col(to).alias("eval_band"), F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "at", "s0", "s1")]]
     train = keyed.where("t").select("w", *side("train", "own", "to"))
     held = keyed.where("e").select("w", *side("eval", "to", "own"))
     n, m = F.col("train_size"), F.col("eval_size")
     near = (n * 100 >= m * SIMILARITY) & (m * 100 >= n * SIMILARITY)
     reach = (1 + F.least(n - F.col("train_at"), m - F.col("eval_at"))) * (100 + SIMILARITY) >= (n + m) * SIMILARITY
-    apart = sum((F.bit_count(F.col("train_sum")[k].bitwiseXOR(F.col("eval_sum")[k])) for k in range(4)), F.lit(0))
+    apart = F.bit_count(F.col("train_s0").bitwiseXOR(F.col("eval_s0"))) + F.bit_count(F.col("train_s1").bitwiseXOR(F.col("eval_s1")))
     close = apart * (100 + SIMILARITY) <= (n + m) * (100 - SIMILARITY)
     pairs = train.join(held, ["w", "train_band", "eval_band"]).where(near & reach & close & (F.col("train") != F.col("eval"))).select("train", "eval").distinct()
-    text = lambda side: classes.select(F.col("class").alias(side), F.col("words").alias(f"{side}_text"))
+    text = lambda side: classes.select(F.unhex("class").alias(side), F.col("words").alias(f"{side}_text"))
     pairs = pairs.join(text("train"), "train").join(text("eval"), "eval")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +219,7 @@ def class_pairs(recs: DataFrame, hot_pairs: int = HOT_PAIRS, aligned: bool = Tru
                 shared = len(x & y)
                 either = len(x) + len(y) - shared
                 if shared * 100 >= SIMILARITY * either:
-                    out.append((t, e, shared, either, align(a, c) if aligned else 0, len(c)))
+                    out.append((t.hex(), e.hex(), shared, either, align(a, c) if aligned else 0, len(c)))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["train", "eval", "shared", "either", "covered", "eval_words"])
 
