@@ -265,7 +265,7 @@ def _signed(rows: DataFrame, window: int, repeats: int, samples: int, bitmap=Non
             sig = np.array([w[3] for w in windows], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in windows], pa.int64()), pa.array([" ".join(w[1]) for w in windows], pa.string()), pa.array([w[2] for w in windows], pa.int32()), pa.array(sig, pa.int64())], ["id", "words", "repeat", "sig"])
 
-    return rows.mapInArrow(run, _SIGNED).distinct()
+    return rows.mapInArrow(run, _SIGNED)
 
 
 def _bitmap(signed: DataFrame) -> bytes:
@@ -284,7 +284,7 @@ def _bitmap(signed: DataFrame) -> bytes:
 
 def _join(docs: DataFrame, items: DataFrame, window: int, edits: int, repeats: int, samples: int) -> DataFrame:
     """Documents against any number of items, by a join of signatures."""
-    signed = materialise(_signed(items.select("item_id", "text"), window, repeats, samples), "leakage-items")
+    signed = materialise(_signed(items.select("item_id", "text"), window, repeats, samples).distinct(), "leakage-items")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(signed))
     ours = _signed(docs.select("doc_id", "text"), window, repeats, samples, bitmap).select(F.col("id").alias("doc_id"), F.col("words").alias("doc_words"), "repeat", "sig", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     theirs = signed.select(F.col("id").alias("item_id"), F.col("words").alias("item_words"), "repeat", "sig", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
