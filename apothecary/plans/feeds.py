@@ -328,8 +328,9 @@ def recall_overlap_setequal(spark, d):
 @query(f"""with {_MARKET}, {_MEMBERS} select m.product_id, cast(count(*) as bigint) as candidates, count(*) filter (where s.product_id is null) as available
 from members m join members o on m.group_id = o.group_id and m.product_id <> o.product_id left join stopped s on s.product_id = o.product_id group by m.product_id""")
 def alternative_availability(spark, d):
+    # Members are read three times below; their signatures are worked out once.
     products, _, stopped = _market(spark, d)
-    return market.alternatives(graph.equivalence_members(table(spark, d, "ndc")), products, stopped)
+    return market.alternatives(materialise(graph.equivalence_members(table(spark, d, "ndc")), "members"), products, stopped)
 
 
 @query(f"""with {_MARKET} select ingredient, maker, product_id from (select ingredient, maker, product_id, row_number() over (partition by ingredient, maker order by coalesce(in_recall, false) desc, coalesce(in_shortage, false) desc, product_id) as r
@@ -374,7 +375,7 @@ from needles a left join c using (q) left join e using (q)""")
 def drug_report(spark, d):
     products, ingredients, stopped = _market(spark, d)
     needles = spark.createDataFrame([(q,) for q in _NEEDLES], "q string")
-    return market.drug_report(needles, products, ingredients, stopped, graph.equivalence_members(table(spark, d, "ndc")), _LIMIT)
+    return market.drug_report(needles, products, ingredients, stopped, materialise(graph.equivalence_members(table(spark, d, "ndc")), "members"), _LIMIT)
 
 
 @query(f"""with {_MARKET}, {_ASKED}, one as (select q, maker, product_id, coalesce(in_recall, false) as r, coalesce(in_shortage, false) as s, row_number() over (partition by q, maker order by coalesce(in_recall, false) desc, coalesce(in_shortage, false) desc, product_id) as k from others left join stopped using (product_id))
