@@ -178,6 +178,15 @@ def _encoded(words: DataFrame) -> DataFrame:
     return words.select("word", "block").mapInArrow(run, "word string, block string, parts array<string>, bits array<bigint>")
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that sorts both sides, whatever their estimated sizes.
+
+    Estimates leave out how far lists unfold and files decompress: a side taken for 10 MB
+    can be some hundred in memory, and a broadcast would hold it whole in the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def candidates(asked: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of one block that agree on a part of their vectors: block, asked, a, known, k."""
 
@@ -185,7 +194,7 @@ def candidates(asked: DataFrame, known: DataFrame) -> DataFrame:
         rows = _encoded(words).select(F.col("word").alias(name), "block", F.col("bits").alias(bits), F.explode("parts").alias("part"))
         return rows.select(name, "block", bits, F.xxhash64("block", "part").alias("key"))
 
-    return index(asked, "asked", "a").join(index(known, "known", "k"), ["key", "block"]).drop("key")
+    return meet(index(asked, "asked", "a"), index(known, "known", "k"), ["key", "block"]).drop("key")
 
 
 def close_words(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -219,7 +228,7 @@ def coded(rows: DataFrame, ndc: DataFrame, feed: str) -> DataFrame:
     carried = rows.select(record_key(feed).alias("record_key"), F.explode(_codes(feed)).alias("c")).select("record_key", normalize_ndc(F.col("c")).alias("full"))
     carried = carried.where(F.col("record_key").isNotNull() & F.col("full").isNotNull()).distinct()
     carried = carried.select("record_key", F.explode(F.array_distinct(F.array("full", F.substring("full", 1, 9)))).alias("code"))
-    return carried.join(index, "code").select("record_key", "product_ndc").distinct()
+    return meet(carried, index, ["code"]).select("record_key", "product_ndc").distinct()
 
 
 _ATTRIBUTES = "names array<string>, own array<string>, salts array<string>, strengths string, form string, maker string, kind string"
@@ -292,14 +301,14 @@ def score_pairs(sets: DataFrame, products: DataFrame) -> DataFrame:
     words = lambda df, c, within: df.select(F.col(c).alias("word"), F.col(within).alias("block")).distinct()
     lexicon = close_words(words(each, "asked", "block"), words(entry, "known", "block"))
     named = F.concat_ws("#", "known", "block").alias("name")
-    rows = each.join(lexicon, ["asked", "block"]).select("sid", "maker", "kind", "salts", "n_names", "own", "dice", "known", named)
+    rows = meet(each, lexicon, ["asked", "block"]).select("sid", "maker", "kind", "salts", "n_names", "own", "dice", "known", named)
     rows = materialise(rows, "match-names")
     entry = entry.select("product_ndc", "p_maker", "p_kind", "p_salts", "p_own", "role", "need", named)
     # Only names that some record has need their labelers searched.
-    entry = materialise(entry.join(rows.select("name").distinct(), "name", "left_semi"), "match-entries")
+    entry = materialise(meet(entry, rows.select("name").distinct(), ["name"], "left_semi"), "match-entries")
     makers = close_words(words(rows, "maker", "name"), words(entry, "p_maker", "name"))
     makers = makers.select(F.col("block").alias("name"), F.col("asked").alias("maker"), F.col("known").alias("p_maker"), F.col("dice").alias("maker_dice"))
-    hits = rows.join(makers, ["name", "maker"]).join(entry, ["name", "p_maker"])
+    hits = meet(meet(rows, makers, ["name", "maker"]), entry, ["name", "p_maker"])
     hits = hits.where(F.col("own").isNull() | F.col("p_own").isNull() | (F.col("own") == F.col("p_own")))
     one = hits.groupBy("sid", "product_ndc", "role", "known").agg(
         F.max("dice").alias("dice"), F.first("need").alias("need"), F.max("maker_dice").alias("maker_dice"), F.first("kind").alias("kind"), F.first("p_kind").alias("p_kind"), F.first("salts").alias("salts"), F.first("p_salts").alias("p_salts"), F.first("n_names").alias("n_names")
@@ -339,15 +348,15 @@ def match(recalls: DataFrame, shortages: DataFrame, ndc: DataFrame, hot_rows: in
     many = {r["sid"]: 1 + r["n"] // max(1, limit // 2) for r in described.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).collect()}
     parts = lookup(many, F.col("sid"), F.lit(1).cast("bigint"))
     cut = scored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    found = described.select("feed", "record_key", "sid", F.pmod(F.xxhash64("record_key"), parts).alias("part")).distinct().join(cut, ["sid", "part"])
+    found = meet(described.select("feed", "record_key", "sid", F.pmod(F.xxhash64("record_key"), parts).alias("part")).distinct(), cut, ["sid", "part"])
     found = materialise(found.groupBy("feed", "record_key", "product_ndc").agg(F.max("score").alias("score"), F.max("band").alias("band")), "match-found")
 
     has_code = codes.select("feed", "record_key").distinct()
-    known = found.join(has_code, ["feed", "record_key"], "left_semi").join(codes.withColumn("right", F.lit(1)), ["feed", "record_key", "product_ndc"], "left")
+    known = meet(meet(found, has_code, ["feed", "record_key"], "left_semi"), codes.withColumn("right", F.lit(1)), ["feed", "record_key", "product_ndc"], "left")
     seen = {r["band"]: (r["right"] or 0, r["n"]) for r in known.groupBy("band").agg(F.sum("right").alias("right"), F.count(F.lit(1)).alias("n")).collect()}
     table = calibrate(seen)
     sure = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("band"))
-    return found.join(has_code, ["feed", "record_key"], "left_anti").select("feed", "record_key", "product_ndc", F.round("score", 4).alias("score"), sure.alias("confidence"))
+    return meet(found, has_code, ["feed", "record_key"], "left_anti").select("feed", "record_key", "product_ndc", F.round("score", 4).alias("score"), sure.alias("confidence"))
 
 
 def calibrate(seen: dict[int, tuple[int, int]], bands: int = 20) -> dict[int, float]:

@@ -87,6 +87,25 @@ def test_matches(spark):
     assert run(spark, recalls, short) == {("recalls", k, "00101-101") for k in ("D-1", "D-2")} | {("recalls", k, "00102-201") for k in ("D-3", "D-4")} | {("recalls", "D-13", "00101-104"), ("shortages", "00101600101", "00101-101")}
 
 
+def test_no_side_of_a_join_is_held_by_the_driver(spark, monkeypatch):
+    plans = []
+    write = M.materialise
+
+    def planned(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(M, "materialise", planned)
+    recalls = [recall(f"D-{k}", "zelomixamer 20 mg tablets, Mfg: Corvanta Laboratories", "00101-101-01" if k % 2 else None) for k in range(6)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((recalls, RECALLS), ([], SHORTAGES), (PRODUCTS, NDC))]
+    out = M.match(*frames)
+    assert {r["record_key"] for r in out.collect()} == {"D-0", "D-2", "D-4"}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
 
